@@ -185,7 +185,7 @@ def search_shard(items: Items, docs: list[list[str]], words: int, share: float)
                 chains.append([a, b, a + n, b + n, g, r])
         for c in chains:
             span = gained[int(c[3])] - gained[int(c[1])]
-            if not c[5] or c[3] - c[1] < words - 8 or c[4] < 0.4 * span:
+            if not c[5] or c[3] - c[1] < min(words, len(items.words[i])) - 8 or c[4] < 0.4 * span:
                 continue
             ws, (first, end) = docs[d], (int(c[0] - start[d]), int(c[2] - start[d]))
             target = items.words[i]
