@@ -1,0 +1,209 @@
+"""Template residue, filler and notices in place of content.
+
+Three character n-gram models are compared: filler, notices and natural prose.  Filler and notices
+start from the short phrases below and from the titles hosts give to made-up addresses; prose is a bounded
+sample of the corpus, of which only texts with the function words of running prose are taken.  Self-training
+adds sampled texts without these that the first models call residue almost throughout.  Every character then has a log-likelihood ratio
+of the better residue model against prose; the mean over a window localises residue, and a record is
+excluded by the share of its text inside such windows.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BITS, ORDERS, WINDOW, SMOOTH, COVER, SAMPLE = 20, (3, 4, 5), 28, 0.1, 0.5, 8_000
+
+# What unfilled templates, filler and notices commonly say.
+FILLER = [
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+    "at vero eos et accusam et justo duo dolores et ea rebum stet clita kasd gubergren no sea takimata sanctus est", "test test test", "testing 123", "asdf asdf qwer qwer sdfg jkl xx xxx asdfasdf qwerty", "text text text text", "sample text sample text",
+    "paragraph 1 sample text", "blindtext blindtext", "heading placeholder", "body text placeholder", "button label", "your headline goes here", "add a short description of your business in this box", "[insert introduction here]", "[insert second paragraph here]",
+    "insert text here", "todo: write copy for this section", "todo", "tbd", "tba", "hello world! this is a sample page, edit or delete it and start", "this is a sample page", "undefined", "null", "nan", "[object object]", "has shared items with you on", "dear , your order leaves on",
+    "welcome to , your place for", "showing of results for", "buy from at left in stock", "traceback: template render failed at line, key is missing", "placeholder", "coming soon", "click here to edit", "replace this text", "your text here", "write something about yourself",
+]
+NOTICES = [
+    "page not found", "error 404: this page is not available on the server", "http status 404", "the requested url was not found on this server", "this page no longer exists or has moved", "oops! that link seems to be broken", "we looked everywhere, yet nothing lives at this address any more",
+    "please check the spelling of the address or go back to the start page", "return to homepage", "search our site", "browse all sections", "use the search box above or pick a section from the list", "this listing has been withdrawn and there is nothing to show here",
+    "fatal error in /var/www/html/index.php on line 42", "fatal exception in /srv/site/main.php on line 7", "could not connect to the database: error (2006)", "database connection timeout", "reference 4f2a91c", "request id 9c1b77e0", "this content has gone away", "this page has gone away",
+    "we are sorry, the content you tried to open could not be found", "hmm, the page you tried to open could not be found", "here are some places other visitors like", "most wanted this week", "tell us what you were hoping for and we will answer within two days", "let us bring you back on the trail", "no results. your search for 'item' matched 0 documents", "nothing matched your search",
+    "access to this resource is denied for your account", "access denied", "forbidden", "your session has expired, sign in again", "please log in to continue", "too many requests from your network, slow down and retry in 30 seconds", "service temporarily unavailable for maintenance, please come back later",
+    "the upstream server did not answer in time", "bad gateway", "internal server error", "an unexpected error occurred while handling your request", "incident was logged", "if the problem persists, contact the site owner", "nginx", "server: node-1", "try again in 5 minutes", "sorry", "unfortunately",
+    "please enable javascript to continue", "javascript must be enabled to view this page", "you need to allow scripts and cookies before you can use this site", "your browser does not run javascript or has it turned off", "this application needs scripts to run. switch them on in your browser and reload",
+    "pages on this site do not work without scripts", "loading… if nothing happens, scripts may be blocked on this device", "checking that your browser is genuine, this takes 5 seconds", "verify that you are human by completing the step below", "one more step: tick the box to prove you are not a robot. ray", "just a moment",
+    "die angeforderte seite wurde leider nicht gefunden", "dieser inhalt ist nicht mehr verfügbar (code 404)", "zur startseite", "bitte aktivieren sie javascript, um diese seite zu nutzen", "bitte aktivieren sie javascript, um fortzufahren", "bitte aktivieren sie javascript, um den katalog zu sehen", "seite nicht gefunden", "zugriff verweigert",
+    "cette page n'existe plus ou a changé d'adresse", "une erreur est survenue, veuillez réessayer plus tard", "retour à l'accueil", "veuillez activer javascript pour continuer", "veuillez activer javascript pour afficher cette page", "veuillez activer javascript pour consulter le site", "page introuvable", "accès refusé",
+    "la página solicitada no existe en este servidor", "volver al inicio", "activa javascript en tu navegador para continuar", "página no encontrada", "acceso denegado", "la pagina richiesta non è stata trovata", "torna alla home", "attiva javascript nel browser per continuare", "accesso negato",
+    "esta página já não existe", "voltar ao início", "ative o javascript para continuar", "página não encontrada", "deze pagina bestaat niet meer", "terug naar de startpagina", "schakel javascript in om verder te gaan", "pagina niet gevonden",
+    "nie znaleziono takiej strony", "wróć na stronę główną", "włącz obsługę javascript, aby kontynuować", "sidan du letade efter finns inte", "tillbaka till startsidan", "aktivera javascript för att fortsätta", "запрошенная страница не найдена", "вернуться на главную", "включите скрипты в браузере, чтобы продолжить", "доступ запрещён",
+    "お探しのページは見つかりませんでした。", "トップページへ戻る", "続けるには javascript を有効にしてください。", "アクセスが拒否されました。",
+]
+FUNCTION_WORDS = (
+    "the of and to in that is for on with as by an from this which at are "
+    "der die das und ist nicht mit den von ein eine auf für im zu dem "
+    "le la les des et est une dans que pour du par sur au aux "
+    "el los las y es que un una por con para del se "
+    "il lo gli che di e è un una per con nel della dei "
+    "o os as e é que um uma por com para do da dos no na "
+    "de het een en van is dat op te met voor niet bij "
+    "w i na z jest nie się do że oraz po dla od przez "
+    "och att det som en ett på av är för med till den "
+    "и в на не с что по для из к о от как"
+).split()
+_SLOT = re.compile(r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,80}?%\}|<%[^\n]{0,80}?%>|\[\[[^\[\]\n]{0,80}\]\]|[$#]\{[^{}\n]{0,80}\}|@@[^@\n]{1,60}@@|__[A-Za-z0-9_.]{1,60}__|%[A-Za-z_][\w.]{1,60}%|%\d\$[a-z]|\{\d\}")
+_FUNCTION = frozenset(FUNCTION_WORDS)
+_DIGITS = re.compile(r"\d+")
+
+
+def plain(text: str) -> str:
+    """Lower case, numbers as 0, template slots as runs of one sign, blanks single."""
+    if "{" in text or "%" in text or "[" in text or "@" in text or "__" in text:
+        text = _SLOT.sub(lambda m: "\x01" * max(4, len(m[0])), text)
+    return " ".join(_DIGITS.sub("0", text.lower()).split())
+
+
+def natural(text: str, least: int = 25, share: float = 0.15) -> bool:
+    """Whether a text has the function words, or in Japanese the kana, of running prose."""
+    kana = sum("\u3041" <= c <= "\u30ff" for c in text)
+    if kana > 0.2 * len(text):
+        return len(text) >= 2 * least and len(set(text)) >= 20
+    words = text.lower().split()
+    return len(words) >= least and len(set(words)) >= 0.25 * least and sum(w in _FUNCTION for w in words) >= share * len(words)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after a blank, and where each begins."""
+    start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.frombuffer((" " + " ".join(texts)).encode("utf-32-le"), dtype=np.uint32), start
+
+
+def _grams(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """Hash of the n-gram that ends at each character, for each order; runs over the start of a text are harmless."""
+    h, out = codes.astype(np.uint32), {}
+    padded = np.concatenate([np.full(max(ORDERS), 32, dtype=np.uint32), codes])
+    for k in range(1, max(ORDERS)):
+        h = h * np.uint32(0x01000193) ^ (padded[max(ORDERS) - k : len(padded) - k] * np.uint32(2654435761))
+        if k + 1 in ORDERS:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            out[k + 1] = (mixed ^ (mixed >> np.uint32(12))) & np.uint32((1 << BITS) - 1)
+    return out
+
+
+def _counts(texts: list[str]) -> dict[int, np.ndarray]:
+    codes, _ = _codes(texts)
+    return {k: np.bincount(g, minlength=1 << BITS).astype(np.float32) for k, g in _grams(codes).items()}
+
+
+def _backed_off(table: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> np.ndarray:
+    """The ratio of the longest n-gram that either side has seen, 0 for none."""
+    score = np.full(len(next(iter(grams.values()))), np.nan, dtype=np.float32)
+    for k in sorted(grams, reverse=True):
+        left = np.isnan(score)
+        score[left] = table[k][grams[k][left]]
+    return np.nan_to_num(score)
+
+
+class ResidueModel:
+    """Log-likelihood ratios of filler and of notices against prose, by hashed n-gram.
+
+    A residue model is smoothed towards prose, so that what neither seed nor notice says always speaks for prose.
+    """
+
+    def __init__(self, filler: list[str], notices: list[str], prose: list[str]):
+        base = _counts(prose)
+        self.tables = []
+        for texts in (filler, notices):
+            own, total = _counts(texts), {}
+            for k in ORDERS:
+                a, b = own[k] / max(1, own[k].sum()), np.maximum(base[k], 0.5) / max(100_000, base[k].sum())
+                unseen = (own[k] == 0) & (base[k] == 0)
+                total[k] = np.where(unseen, np.nan, np.clip(np.log((a + SMOOTH * b) / ((1 + SMOOTH) * b)), -6, 6)).astype(np.float16)
+            self.tables.append(total)
+
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points, starts and, for each character, the windowed mean ratio of the better residue model."""
+        codes, start = _codes(texts)
+        grams = _grams(codes)
+        n, best = len(codes), None
+        lo = np.maximum(np.arange(n) - WINDOW // 2, np.repeat(start[:-1], np.diff(start)))
+        hi = np.minimum(np.arange(n) + WINDOW // 2 + 1, np.repeat(start[1:], np.diff(start)))
+        for table in self.tables:
+            score = _backed_off(table, grams)
+            run = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
+            mean = ((run[hi] - run[lo]) / (hi - lo)).astype(np.float32)
+            best = mean if best is None else np.maximum(best, mean)
+        return codes, start, best
+
+    def coverage(self, texts: list[str]) -> np.ndarray:
+        """Share of each text's characters, blanks aside, that lie in residue."""
+        if not texts:
+            return np.zeros(0)
+        codes, start, ratio = self.ratios([plain(t) for t in texts])
+        solid = codes != 32
+        flagged = ((ratio > 0) | (codes == 1)) & solid
+        sums = lambda x: np.add.reduceat(x.astype(np.int64), start[:-1])
+        return sums(flagged) / np.maximum(1, sums(solid))
+
+
+def fit(prose_sample: list[str], notice_titles: list[str], rounds: int = 2) -> ResidueModel:
+    """Models from a sample of texts and the titles hosts give to addresses that do not exist."""
+    filler, notices = [plain(t) for t in FILLER], [plain(t) for t in NOTICES + notice_titles]
+    sample = [(plain(t), natural(t)) for t in prose_sample]
+    prose, rest = [t for t, n in sample if n], [t for t, n in sample if not n]
+    model = ResidueModel(filler, notices, prose or ["prose"])
+    for _ in range(rounds):
+        prose = [t for t, c in zip(prose, model.coverage(prose)) if c < 0.5]
+        odd = [t for t, c in zip(rest, model.coverage(rest)) if c >= 0.7]
+        if not odd:
+            break
+        codes, start, _ = model.ratios(odd)
+        grams = _grams(codes)
+        means = [np.add.reduceat(_backed_off(t, grams), start[:-1]) for t in model.tables]
+        more = [[t for t, a, b in zip(odd, *means) if (a >= b) == is_filler] for is_filler in (True, False)]
+        model = ResidueModel(filler + more[0], notices + more[1], prose or ["prose"])
+    return model
+
+
+def fit_on(texts: DataFrame, probe_titles: DataFrame | None = None, sample: int = SAMPLE, titles: int = 2_000) -> ResidueModel:
+    """A model from ``sample`` texts (id, text) and ``titles`` titles (title), both picked by hash, so at random but repeatably."""
+    picked = texts.where("trim(text) <> ''").orderBy(F.xxhash64("id", "text")).limit(sample).select("text").collect()
+    seeds = [] if probe_titles is None else probe_titles.where("trim(title) <> ''").select("title").distinct().orderBy(F.xxhash64("title")).limit(titles).collect()
+    return fit([r.text for r in picked], [r.title for r in seeds])
+
+
+def notice_titles(probes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Titles of answers to made-up addresses that no page with a text of some length bears; pages: title, text."""
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    real = pages.where(F.size(F.split("text", r"\s+")) >= 60).select(key(F.col("title")).alias("key")).distinct()
+    return probes.select("title", key(F.col("title")).alias("key")).join(real, "key", "left_anti").select("title")
+
+
+def residue_coverage(texts: DataFrame, model: ResidueModel) -> DataFrame:
+    """(id, coverage) of each text: the share of its characters in residue.  Null and blank texts are left out."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # a fixed number of cells
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "coverage": shared.value.coverage(pdf.text.tolist())})
+
+    return texts.where("id is not null and trim(text) <> ''").select("id", "text").mapInPandas(score, "id long, coverage double")
+
+
+def residue_lines(texts: DataFrame, model: ResidueModel) -> DataFrame:
+    """(id, line_no, coverage) of the lines, counted from 1, that are residue, within texts of any kind."""
+    lines = texts.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(F.struct("id", "pos").alias("at"), "text").where("trim(text) <> ''")
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cover = shared.value.coverage(pdf.text.tolist())
+            out = pd.DataFrame({"id": pdf.id, "line_no": pdf.pos + 1, "coverage": cover})
+            yield out[out.coverage >= COVER]
+
+    return lines.select("at.id", "at.pos", "text").mapInPandas(score, "id long, line_no int, coverage double")
