@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm import abuse
 from webloom.llm.leakage import leaked_passages
 from webloom.llm.mixing import mix_sources, token_counts
 from webloom.plans.tables import table
@@ -37,5 +38,24 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(_weighed(spark, d), table(spark, d, "mix_targets"))[0]
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each document and category."""
+    docs = table(spark, d, "documents")
+    model = abuse.fit_on(docs, table(spark, d, "doc_labels"))
+    out = abuse.abuse_scores(docs, model)
+    return out.select("doc_id", "source", *(F.round(c, 4).alias(c) for c in abuse.CATEGORIES))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in abuse.CATEGORIES)))
+    long = p10_scores(spark, d).select("doc_id", each.alias("x"))
+    return long.where(F.col("x.score") >= abuse.LIMIT).select("doc_id", "x.category")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged documents per source and category."""
+    return abuse.source_rates(p10_scores(spark, d))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates, "p10_scores": p10_scores}
 SQL: dict[str, str] = {}

@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, ORDERS, WINDOW, SMOOTH, COVER, SAMPLE = 20, (3, 4, 5), 28, 0.1, 0.5, 8_000
+from webloom.llm.records import sampled
+
+BITS, ORDERS, WINDOW, SMOOTH, COVER, SAMPLE = 20, (3, 4, 5), 28, 0.1, 0.5, 6_000
 
 # What unfilled templates, filler and notices commonly say.
 FILLER = [
@@ -95,9 +97,27 @@ def _grams(codes: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
+CHARS = 1_000_000  # characters worked on at once
+
+
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    block, size = [], 0
+    for t in texts:
+        if block and size + len(t) > CHARS:
+            yield block
+            block, size = [], 0
+        block.append(t)
+        size += len(t) + 1
+    if block:
+        yield block
+
+
 def _counts(texts: list[str]) -> dict[int, np.ndarray]:
-    codes, _ = _codes(texts)
-    return {k: np.bincount(g, minlength=1 << BITS).astype(np.float32) for k, g in _grams(codes).items()}
+    out = {k: np.zeros(1 << BITS, dtype=np.float32) for k in ORDERS}
+    for block in _blocks(texts):
+        for k, g in _grams(_codes(block)[0]).items():
+            out[k] += np.bincount(g, minlength=1 << BITS).astype(np.float32)
+    return out
 
 
 def _backed_off(table: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> np.ndarray:
@@ -142,9 +162,10 @@ class ResidueModel:
 
     def coverage(self, texts: list[str]) -> np.ndarray:
         """Share of each text's characters, blanks aside, that lie in residue."""
-        if not texts:
-            return np.zeros(0)
-        codes, start, ratio = self.ratios([plain(t) for t in texts])
+        return np.concatenate([np.zeros(0), *(self._coverage(b) for b in _blocks([plain(t) for t in texts]))])
+
+    def _coverage(self, texts: list[str]) -> np.ndarray:
+        codes, start, ratio = self.ratios(texts)
         solid = codes != 32
         flagged = ((ratio > 0) | (codes == 1)) & solid
         sums = lambda x: np.add.reduceat(x.astype(np.int64), start[:-1])
@@ -162,17 +183,20 @@ def fit(prose_sample: list[str], notice_titles: list[str], rounds: int = 2) -> R
         odd = [t for t, c in zip(rest, model.coverage(rest)) if c >= 0.7]
         if not odd:
             break
-        codes, start, _ = model.ratios(odd)
-        grams = _grams(codes)
-        means = [np.add.reduceat(_backed_off(t, grams), start[:-1]) for t in model.tables]
-        more = [[t for t, a, b in zip(odd, *means) if (a >= b) == is_filler] for is_filler in (True, False)]
+        more: list[list[str]] = [[], []]
+        for block in _blocks(odd):
+            codes, start = _codes(block)
+            grams = _grams(codes)
+            a, b = (np.add.reduceat(_backed_off(t, grams), start[:-1]) for t in model.tables)
+            for text, x, y in zip(block, a, b):
+                more[int(x < y)].append(text)
         model = ResidueModel(filler + more[0], notices + more[1], prose or ["prose"])
     return model
 
 
 def fit_on(texts: DataFrame, probe_titles: DataFrame | None = None, sample: int = SAMPLE, titles: int = 2_000) -> ResidueModel:
     """A model from ``sample`` texts (id, text) and ``titles`` titles (title), both picked by hash, so at random but repeatably."""
-    picked = texts.where("trim(text) <> ''").orderBy(F.xxhash64("id", "text")).limit(sample).select("text").collect()
+    picked = sampled(texts.where("id is not null and trim(text) <> ''"), "id", sample).select("text").collect()
     seeds = [] if probe_titles is None else probe_titles.where("trim(title) <> ''").select("title").distinct().orderBy(F.xxhash64("title")).limit(titles).collect()
     return fit([r.text for r in picked], [r.title for r in seeds])
 
@@ -181,7 +205,7 @@ def notice_titles(probes: DataFrame, pages: DataFrame) -> DataFrame:
     """Titles of answers to made-up addresses that no page with a text of some length bears; pages: title, text."""
     key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     real = pages.where(F.size(F.split("text", r"\s+")) >= 60).select(key(F.col("title")).alias("key")).distinct()
-    return probes.select("title", key(F.col("title")).alias("key")).join(real, "key", "left_anti").select("title")
+    return probes.where("title is not null").select("title", key(F.col("title")).alias("key")).join(real, "key", "left_anti").select("title")
 
 
 def residue_coverage(texts: DataFrame, model: ResidueModel) -> DataFrame:
