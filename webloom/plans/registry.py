@@ -1,7 +1,7 @@
 """All core queries; modules are added here."""
 
-from webloom.plans import corpus_queries
+from webloom.plans import corpus_queries, url_queries
 
-MODULES = [corpus_queries]
+MODULES = [corpus_queries, url_queries]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
