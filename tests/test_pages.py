@@ -1,0 +1,92 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from webloom.functions import detect, html
+
+
+def test_text_for_hash():
+    page = "<html><head><style>x</style><script>y</script></head><body data-t='1'><noscript>n</noscript><p nonce='a'>hello</p>\n <b> world </b></body></html>"
+    assert html.text_for_hash(page) == "hello world"
+    assert hashlib.sha256(html.text_for_hash("").encode()).hexdigest().startswith("e3b0c442")
+
+
+PAGE = """<html lang="de-AT"><head><title> A &amp; B </title><meta name="Description" content=" d "><meta name="robots" content="NoIndex, follow"><meta name="googlebot" content="nofollow">
+<link rel="Canonical" href="/c"><link rel="amphtml" href="amp/"><link rel="alternate" hreflang="EN" href="/en"><link rel="alternate" href="/feed"></head>
+<body><h1>One <b>two</b></h1><h1> </h1><h2>S</h2><a href="/x#f">X</a><a href="/x">again</a><a href="https://other/y">Y</a><a href="mailto:a@b">m</a><a href="/i"><img alt="pic"></a><a href="/j"><img src="/p/q.png"></a>
+<a href="/t" title=" T "></a><a href="/l" aria-label="L"></a><a href="#top"></a><script>skip()</script></body></html>"""
+
+
+def test_facts():
+    f = html.extract(PAGE, "https://h/p/", {"Link": '<https://h/fr>; rel="alternate"; hreflang="FR", </z>; rel=next', "X-Robots-Tag": "none, noindex", "X-Canonical": "/xc"})
+    assert (f["title"], f["meta_description"], f["html_lang"], f["canonical"], f["amphtml"], f["x_canonical"]) == ("A & B", "d", "de-AT", "https://h/c", "https://h/p/amp/", "https://h/xc")
+    assert f["meta_robots"] == ["noindex", "follow", "nofollow"] and f["x_robots_tag"] == ["none", "noindex"]
+    assert f["h1"] == ["One two"] and f["h2"] == ["S"] and "skip" not in f["text"]
+    assert f["hreflang"] == [("fr", "https://h/fr", "http_header"), ("en", "https://h/en", "html_head")]
+    assert [(x[0], x[1]) for x in f["links"]] == [("https://h/x", "X"), ("https://h/i", "[IMG: pic]"), ("https://h/j", "[IMG: q.png]"), ("https://h/t", "[TITLE: T]"), ("https://h/l", "[ARIA: L]"), ("https://h/p/", "[ANCHOR: top]")]
+    assert f["links"][0][2].endswith("/body/a[1]") and f["links"][1][3]
+    assert any(x[0] == "https://other/y" for x in html.extract(PAGE, "https://h/p/", any_host=True)["links"])
+
+
+def test_structured_data():
+    page = """<script type="application/ld+json">[{"@type":"https://schema.org/Article","headline":"h","author":"a","url":"/u"},{"@graph":[{"@type":["Product"],"name":"n"}, 3]}]</script><script type="application/ld+json">{bad</script>
+    <div itemscope itemtype="https://schema.org/Organization"><span itemprop="name">N</span><div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><i itemprop="city">C</i></div></div><p typeof="Person"><a property="url" href="/me">x</a></p>"""
+    items = html.schema_items(html.parse(page), "https://h/")
+    assert [(i[0], i[1], i[3], i[4]) for i in items] == [("json-ld", "Article", "0", True), ("json-ld", "Product", "1-0", False), ("json-ld", "InvalidJSON", "1", False), ("microdata", "Organization", "0", True), ("microdata", "PostalAddress", "1", True), ("rdfa", "Person", "0", True)]
+    assert '"url": "https://h/u"' in items[0][2] and '"name": "N"' in items[3][2] and '"city"' not in items[3][2]
+    assert html.schema_hash({"a": 1, "@id": "x", "b": {"url": "u", "c": [{"position": 1, "d": 2}]}}) == html.schema_hash({"b": {"c": [{"d": 2}]}, "a": 1})
+    assert html.schema_errors({"name": "n", "description": "d", "embedUrl": "x&amp;y", "uploadDate": "20"}, "VideoObject")[1] == "critical"
+    assert html.main_entity(["Thing", "Product", "article"]) == 2 and html.main_entity(["Thing"]) == 0 and html.main_entity([]) is None
+
+
+def test_extract_pages_on_spark(spark):
+    rows = [(1, "https://h/p/", PAGE), (2, None, None), (3, "https://h/q", "<p>" * 3000), (4, "::", "plain")]
+    df = spark.createDataFrame(rows, "url_id long, url string, html string").withColumn("title", F.lit("clash"))
+    out = {r.url_id: r for r in html.extract_pages(df).collect()}
+    assert out[1].title == "A & B" and len(out[1].links) == 6 and out[2].title is None and out[2].word_count == 0 and out[4].text == "plain"
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_vendors_keep_the_best_hit(spark):
+    page = "fbq('track','a') fbq(\"init\", \"77\") fbq('track','b') <script src='https://cdn.segment.com/analytics.js/v1/KEY1/analytics.min.js'> s_account = 1; s.t() googletagmanager.com/gtm.js?id=GTM-A googletagmanager.com/gtag/js?id=GTM-A"
+    df = spark.createDataFrame([(page, "_gid=1; x"), (None, None)], "h string, c string")
+    got = [[(x.vendor, x.identifier, x.evidence_type, x.confidence) for x in r.v] for r in df.select(detect.vendor_hits(F.col("h"), F.col("c")).alias("v")).collect()]
+    assert sorted(got[0], key=str) == sorted([("gtm", "GTM-A", "script_src", 1.0), ("segment", "KEY1", "script_src", 1.0), ("meta-pixel", "77", "inline_js", 0.95), ("meta-pixel", None, "inline_js", 0.8), ("adobe-analytics", None, "inline_js", 0.9), ("universal-analytics", "_gid=1", "cookie", 0.7)], key=str)
+    assert got[1] == []
+
+
+def test_cms_and_challenges(spark):
+    df = spark.createDataFrame([("<meta name='generator' content='WordPress 6.1.2'> /wp-content/", {"X-Powered-By": "WordPress"}), ("<p>x</p>", {}), (None, None)], "h string, m map<string,string>")
+    got = [r.c for r in df.select(detect.detected_cms(F.col("h"), F.col("m")).alias("c")).collect()]
+    assert (got[0].cms_name, got[0].confidence) == ("wordpress", 0.7) and got[1].cms_name is None and got[2].confidence == 0
+    cases = [(200, {"CF-Mitigated": "challenge"}, "", "cloudflare"), (403, {"Set-Cookie": "datadome=x"}, "", "datadome"), (200, {"Set-Cookie": "datadome=x"}, "", None), (403, {}, "Reference #1 Akamai", "akamai"), (200, {}, "_Incapsula_Resource", "imperva"), (200, None, None, None), (429, {}, "px.gif", "perimeterx")]
+    df = spark.createDataFrame(cases, "s int, h map<string,string>, b string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", detect.challenge(F.col("s"), F.col("h"), F.col("b"))).collect())
+
+
+ROBOTS = "Sitemap: https://h/s.xml\nUser-agent: A\nSitemap: x\nUser-agent: loom\nDisallow: /p\nAllow: /p/q\nDisallow:\nCrawl-delay: 2\nUser-agent: *\nDisallow: /\n# c\nUser-agent: Loom\nDisallow: /*?x\nDisallow: /z$"
+
+
+def decide(spark, paths, agent):
+    rules = spark.createDataFrame([("h", *r) for r in detect.parse_robots(ROBOTS)], "host string, agent string, kind string, rule string")
+    df = spark.createDataFrame([("h", p) for p in paths] + [("g", "/any")], "host string, path string")
+    return {(r.host, r.path): (r.allowed, r.matched_rule) for r in detect.robots_decisions(df, rules, agent).collect()}
+
+
+def test_robots(spark):
+    got = decide(spark, ["/p/x", "/p/q", "/a?x=1", "/axb", "/z", "/zz", "/a.b[c]"], "loom/2.0")
+    assert got == {("h", "/p/x"): (False, "Disallow: /p"), ("h", "/p/q"): (True, "Allow: /p/q"), ("h", "/a?x=1"): (False, "Disallow: /*?x"), ("h", "/axb"): (True, None), ("h", "/z"): (False, "Disallow: /z$"), ("h", "/zz"): (True, None), ("h", "/a.b[c]"): (True, None), ("g", "/any"): (True, None)}
+    assert decide(spark, ["/k"], "nobody")["h", "/k"] == (False, "Disallow: /")
+    assert ("A", "disallow", "/p") in detect.parse_robots(ROBOTS) and ("", "sitemap", "x") in detect.parse_robots(ROBOTS) and detect.parse_robots(None) == []
+    df = spark.createDataFrame([(503, True), (404, False), (200, False), (None, True)], "s int, a boolean")
+    assert [r.x for r in df.select(detect.robots_fallback(F.col("s"), F.col("a")).alias("x")).collect()] == [False, True, False, False]
+
+
+def test_cache_ttl_and_custom_rules(spark):
+    cases = [({"Cache-Control": "public, max-age=60"}, 60), ({"cache-control": "no-store"}, 0), ({"Expires": "Wed, 01 Jan 2025 01:00:00 GMT"}, 3600), ({"Last-Modified": "Tue, 31 Dec 2024 23:00:00 GMT"}, 360), ({}, 3600), (None, 3600)]
+    df = spark.createDataFrame(cases, "h map<string,string>, want int")
+    got = df.select(detect.cache_ttl(F.col("h"), F.expr("timestamp'2025-01-01 00:00:00'")).alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
+    df = spark.createDataFrame([("a=1;b=2;a=3",), (None,)], "t string")
+    rules = [{"name": "pairs", "pattern": r"(\w)=(\d)", "multiple": True}, {"name": "first", "pattern": r"a=\d"}]
+    assert [r.m for r in df.select(detect.custom_regex(F.col("t"), rules).alias("m")).collect()] == [{"pairs": "a1\nb2\na3", "first": "a=1"}, {}]

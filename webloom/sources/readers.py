@@ -15,13 +15,11 @@ from pyspark.sql import types as T
 from webloom.functions.detect import robots_rules
 from webloom.sources.schemas import RESULT
 
-TWO_63 = 1 << 63
-
 
 def signed(h: Column) -> Column:
     """A 64-bit fingerprint written unsigned or signed, as the signed long."""
     big = T.DecimalType(20, 0)
-    return F.when(h >= F.lit(TWO_63).cast(big), h - F.lit(1 << 64).cast(big)).otherwise(h).cast("long")
+    return F.when(h >= F.lit(str(1 << 63)).cast(big), h - F.lit(str(1 << 64)).cast(big)).otherwise(h).cast("long")
 
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
@@ -29,10 +27,11 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
 
     Missing fields are null, unknown ones ignored; fingerprints come out signed.
     """
-    whole = spark.read.schema(T.StructType([T.StructField("results", T.ArrayType(RESULT))])).json(path, multiLine=True)
+    result = T.StructType.fromDDL(RESULT)
+    whole = spark.read.schema(T.StructType([T.StructField("results", T.ArrayType(result))])).json(path, multiLine=True)
     rows = whole.where("results is not null").select(F.explode("results").alias("r")).select("r.*")
     if not rows.limit(1).count():
-        lines = spark.read.schema(T.StructType([*RESULT.fields, T.StructField("__type", T.StringType())])).json(path)
+        lines = spark.read.schema(T.StructType([*result.fields, T.StructField("__type", T.StringType())])).json(path)
         rows = lines.where("__type is null and requested_url is not null").drop("__type")
     return rows.withColumn("content_hash_simhash", signed(F.col("content_hash_simhash")))
 
