@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 from html import escape
@@ -78,3 +79,49 @@ def write_crawl(results: DataFrame, folder: str) -> None:
 def chain_text(chain):
     """``url (301) -> url (200)`` of an array of struct(url, status)."""
     return F.array_join(F.transform(chain, lambda h: F.concat(h["url"], F.lit(" ("), h["status"].cast("string"), F.lit(")"))), " -> ")
+
+
+def overlap_envelope(pages: DataFrame, pairs: DataFrame, clusters: DataFrame, meta: dict, floor: int = 50_000, least: float = 0.9, most_pairs: int = 200_000) -> dict:
+    """The JSON document of an overlap report: meta, summary, pages, pairs and clusters.
+
+    From ``floor`` pages on only pairs of at least ``least`` are told, and that is said in the summary; a report of
+    more than ``most_pairs`` pairs is no document for a browser and is an error.
+    """
+    n = pages.count()
+    told = pairs.where(F.col("sim") >= least) if n >= floor else pairs
+    total, shown = pairs.count(), told.count()
+    if shown > most_pairs or n > 10 * floor:
+        raise ValueError("too large for one document: write the tables instead")
+    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
+    summary = {"pages": n, "pairs": total, "pairs_told": shown, "truncated": shown < total, "clusters": clusters.count()}
+    return {"meta": meta, "summary": summary, "pages": rows(pages), "pairs": rows(told.orderBy(F.desc("sim"))), "clusters": rows(clusters)}
+
+
+PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Overlap</title><style>body{font:14px sans-serif;margin:2em}td,th{padding:.2em .6em;text-align:left;border-bottom:1px solid #ddd}input{margin:.5em 0;width:30em}</style></head>
+<body><h1>Overlap</h1><p id="s"></p><input id="q" placeholder="part of an address"><table><thead><tr><th>similarity</th><th>a</th><th>b</th><th>relation</th></tr></thead><tbody id="t"></tbody></table>
+<script id="d" type="application/json">@DATA@</script><script>
+const d=JSON.parse(document.getElementById("d").textContent),q=document.getElementById("q"),t=document.getElementById("t");
+document.getElementById("s").textContent=d.summary.pages+" pages, "+d.summary.pairs+" pairs, "+d.summary.clusters+" clusters";
+const cell=x=>{const c=document.createElement("td");c.textContent=x==null?"":x;return c};
+function draw(){t.replaceChildren(...d.pairs.filter(p=>!q.value||(p.url_a+p.url_b).includes(q.value)).slice(0,500).map(p=>{const r=document.createElement("tr");r.append(cell(p.sim),cell(p.url_a),cell(p.url_b),cell(p.relation));return r}))}
+q.oninput=draw;draw();</script></body></html>
+"""
+
+
+def write_html(envelope: dict, path: str) -> None:
+    """One file that works offline; the data can't end the script it is in."""
+    data = json.dumps(envelope, ensure_ascii=False).replace("<", "\\u003c")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(PAGE.replace("@DATA@", data))
+
+
+def packed_html(text: str) -> bytes:
+    """Tagged gzip, as older stores keep pages."""
+    return b"\x01" + gzip.compress(text.encode(), 6)
+
+
+def unpacked_html(data: bytes | None) -> str:
+    """Tagged gzip or plain UTF-8."""
+    if not data:
+        return ""
+    return gzip.decompress(data[1:]).decode() if data[:1] == b"\x01" else data.decode()
