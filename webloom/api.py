@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html, text
 from webloom.functions.urls import netloc_of, normalise_url, remapped, replacements_from
 from webloom.operators import compare, embeddings, identity, overlap, reports
+from webloom.scratch import Scratch
 from webloom.sources import http as http_source
 from webloom.sources import readers, sinks
 
@@ -55,8 +56,9 @@ def intent_overlap(records: DataFrame, threshold: float = 0.85, duplicate: float
     """Tables pages, pairs and clusters of the records that take part in pairing."""
     if mode == "primary-only":
         records = overlap.primary_only(records)
-    pages = overlap.prepared(records, lang_split)
-    pairs = overlap.overlap_pairs(pages, threshold, mode == "suppress", sections)
+    scratch = Scratch(records.sparkSession)  # pages and pairs are read several times
+    pages = scratch.cut(overlap.prepared(records, lang_split), "pages")
+    pairs = scratch.cut(overlap.overlap_pairs(pages, threshold, mode == "suppress", sections), "pairs")
     members = overlap.clusters(pages, pairs, linkage, threshold)
     return {"pages": pages.drop("vector").join(overlap.page_risks(pages, pairs, duplicate), ["part", "id"]), "pairs": pairs, "clusters": overlap.cluster_rows(pages, pairs, members, threshold, sections)}
 
