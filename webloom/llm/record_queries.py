@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.records import newest
-from webloom.llm.representatives import prepare, representatives
+from webloom.llm.representatives import judged, prepare, representatives
 from webloom.plans.tables import table
 
 
@@ -20,7 +20,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_id", "group_id", "survivor_id", "title_id", "canonical_id", "n_members")
 
 
-QUERIES = {"p2_found": p2_found, "p2_representatives": p2_representatives}
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each kind of source holds a true value, and how rarely a false one."""
+    rows = table(spark, d, "analysis_rows")
+    _, quality = judged(newest(rows, **prepare(rows)))
+    return spark.createDataFrame([(s, round(a, 4), round(b, 4)) for s, (a, b) in sorted(quality.items())], "source string, sensitivity double, specificity double")
+
+
+QUERIES = {"p2_found": p2_found, "p2_representatives": p2_representatives, "p2_sources": p2_sources}
 _KEY = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim({0}), '^[A-Za-z]+://([^/?#]*)', 1)), ':\d+$', ''), '^www\.', '')
     || regexp_replace(regexp_replace(lower(regexp_extract(trim({0}), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/index\.(php|html?)$', ''), '/+$', '')
     || coalesce('?' || nullif(list_aggregate(list_sort(list_filter(string_split(lower(regexp_extract({0}, '\?([^#]*)', 1)), '&'),

@@ -134,6 +134,11 @@ def representatives(recs: DataFrame) -> DataFrame:
     the title kept.  Members are ordered by status 200, words, shorter url, url, url_id; null urls come last, null
     texts support no canonical link.  Among titles of about the same truth the first member's is kept.
     """
+    return judged(recs)[0]
+
+
+def judged(recs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """The rows of ``representatives`` and (sensitivity, specificity) of each source."""
     scratch = Scratch(recs.sparkSession)
     recs = scratch.cut(recs, "records")
     groups = connected_components(_address_links(scratch, recs))
@@ -147,10 +152,10 @@ def representatives(recs: DataFrame) -> DataFrame:
         F.count("*").alias("n_members"), F.max("words").alias("words"),
     ).where("n_members > 1")
     claims = _claims(members, "title").unionByName(_claims(members, "c")).unionByName(_claims(members, "code"))
-    truth, _, _ = source_quality(claims)
+    truth, quality, _ = source_quality(claims)
     truth = scratch.cut(truth.select("fact.*", "truth"), "truth")
     place = members.where("title is not null").groupBy("run_id", "group_id", F.col("title").alias("value")).agg(F.min("order").alias("order"))
     titles = truth.where("field = 'title'").join(place, ["run_id", "group_id", "value"]).groupBy("run_id", "group_id").agg(F.min(F.struct(-F.round("truth", 2), F.col("order"), "value", "truth")).alias("best"))
     titles = titles.select("run_id", "group_id", F.col("best.value").alias("title"), F.col("best.truth").alias("sure"))
     kept = truth.where("field <> 'title' and truth >= 0.5").groupBy("run_id", "group_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("value")))).alias(name) for f, name in (("c", "canonicals"), ("code", "codes"))))
-    return picked.join(titles, ["run_id", "group_id"], "left").join(kept, ["run_id", "group_id"], "left")
+    return picked.join(titles, ["run_id", "group_id"], "left").join(kept, ["run_id", "group_id"], "left"), quality
