@@ -8,6 +8,7 @@ from webloom.functions.urls import netloc_of, plain_path
 from webloom.operators import compare, overlap, reports, similarity
 from webloom.plans import url_queries as u
 from webloom.plans.tables import table
+from webloom.scratch import Scratch
 
 LEAST = 0.30  # the largest cosine of the embeddings table is 0.51
 
@@ -61,7 +62,7 @@ def clusters_complete(spark, d):
 
 def cluster_cohesion(spark, d):
     v = _vectors(spark, d)
-    members = similarity.single_linkage(similarity.cosine_pairs(v, 0.40))
+    members = Scratch(spark).cut(similarity.single_linkage(similarity.cosine_pairs(v, 0.40)), "members")
     out = similarity.cluster_cohesion(members, v)
     return out.select("cluster", "size", *(F.round(c, 4).alias(c) for c in ("min_sim", "mean_sim", "cohesion")))
 
@@ -86,26 +87,29 @@ def _prepared(spark, d):
 SECTIONS = ["/news", "/blog"]
 
 
+def _overlap(spark, d):
+    """Pages and pairs, each computed once."""
+    scratch = Scratch(spark)
+    pages = scratch.cut(_prepared(spark, d), "pages")
+    return pages, scratch.cut(overlap.overlap_pairs(pages, sections=SECTIONS), "pairs")
+
+
 def overlap_pairs(spark, d):
     return overlap.overlap_pairs(_prepared(spark, d), sections=SECTIONS).withColumn("sim", F.round("sim", 4))
 
 
 def overlap_page_risks(spark, d):
-    pages = _prepared(spark, d)
-    return overlap.page_risks(pages, overlap.overlap_pairs(pages, sections=SECTIONS)).where("risk <> ''").select("part", "id", "max_similarity", "risk")
+    return overlap.page_risks(*_overlap(spark, d)).where("risk <> ''").select("part", "id", "max_similarity", "risk")
 
 
 def overlap_clusters(spark, d):
-    pages = _prepared(spark, d)
-    pairs = overlap.overlap_pairs(pages, sections=SECTIONS)
+    pages, pairs = _overlap(spark, d)
     out = overlap.cluster_rows(pages, pairs, overlap.clusters(pages, pairs), sections=SECTIONS)
     return out.select("part", "cluster", "size", "suggested_canonical", "relation", "languages", "avg_word_count", "thin", "min_intra_sim", "chained")
 
 
 def overlap_summary(spark, d):
-    pages = _prepared(spark, d)
-    risks = overlap.page_risks(pages, overlap.overlap_pairs(pages, sections=SECTIONS))
-    return risks.groupBy("risk").agg(F.count("*").alias("n"))
+    return overlap.page_risks(*_overlap(spark, d)).groupBy("risk").agg(F.count("*").alias("n"))
 
 
 def _snapshot(spark, d, run):

@@ -162,21 +162,20 @@ def url_variant_report(spark, d):
     return identity.variant_report(identity.variants(_pages(spark, d), ["run_id"]), ["run_id"])
 
 
-def _analysis(spark, d):
-    return records(spark, d, "url", "kind", "status", "overall_indexable", "variant_kind", "canonical_url", "variant_of", "signature_hash", "word_count", "hreflang_group")
+_EXCLUSION = ["url", "kind", "status", "overall_indexable", "variant_kind", "canonical_url", "variant_of"]
 
 
 def exclusion_reasons(spark, d):
-    return _analysis(spark, d).select("run_id", F.coalesce(identity.exclusion_reason(), F.lit("")).alias("reason")).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+    return records(spark, d, *_EXCLUSION).select("run_id", F.coalesce(identity.exclusion_reason(), F.lit("")).alias("reason")).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
 
 
 def parameterised_fold(spark, d):
-    out = identity.parameterised_fold(_analysis(spark, d), ["run_id"])
+    out = identity.parameterised_fold(records(spark, d, *_EXCLUSION, "signature_hash"), ["run_id"])
     return out.select("run_id", "url_id", F.coalesce("url_class", F.lit("")).alias("url_class"), F.coalesce("excluded", F.lit("")).alias("excluded"), F.coalesce("suggested_canonical", F.lit("")).alias("suggested_canonical"))
 
 
 def amp_twins(spark, d):
-    return identity.amp_twins(_analysis(spark, d).where("url is not null"), ["run_id"])
+    return identity.amp_twins(records(spark, d, "url", "canonical_url", "signature_hash").where("url is not null"), ["run_id"])
 
 
 QUERIES = {
