@@ -45,6 +45,8 @@ def test_linkage_and_cohesion(spark):
     for r in similarity.complete_linkage(pairs, df, 0.85).collect():
         groups.setdefault(r.cluster, []).append(r.id)
     assert groups and all(u["a", i] @ u["a", j] >= 0.85 - 1e-9 for g in groups.values() for i in g for j in g if i < j) and all(c == min(g) for c, g in groups.items())
+    with pytest.raises(ValueError):
+        similarity.complete_linkage(pairs, df, 0.85, most=1)
     single = similarity.single_linkage(pairs)
     for r in similarity.cluster_cohesion(single, df, 3).collect():
         ids = [x.id for x in single.where(F.col("cluster") == r.cluster).collect()]
@@ -145,3 +147,11 @@ def test_identity(spark):
     named = spark.createDataFrame([(6, "https://h/base")], "url_id long, base_url string")
     out = {r.url_id: (r.base_url, r.confirmed_by, r.issue) for r in identity.amp_twins(p, [], named).collect()}
     assert out == {1: ("https://h/foo", "canonical-to-base", ""), 3: ("https://h/bar", "signature-hash", "missing-canonical"), 6: ("https://h/base", "amphtml-target", "missing-canonical")}
+
+
+def test_numbers_over_partitions(spark):
+    from webloom.operators.ranks import numbered
+
+    df = spark.createDataFrame([(f"k{i:03d}", i) for i in range(200)], "k string, v int").repartition(7)
+    assert [(r.k, r.n) for r in numbered(df, "k", "n").orderBy("n").collect()] == [(f"k{i:03d}", i) for i in range(200)]
+    assert numbered(df.limit(0), "k", "n").count() == 0

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webloom.functions.urls import amp_base_url, base_url, lang_bucket, normalise_url, page_match_key, query_of, query_without_tracking
 from webloom.operators.components import connected_components
+from webloom.operators.ranks import numbered
 
 
 def hreflang_groups(edges: DataFrame) -> DataFrame:
@@ -19,8 +19,7 @@ def hreflang_groups(edges: DataFrame) -> DataFrame:
     e = edges.where("url <> '' and alt_url <> ''").select(normalise_url(F.col("url")).alias("a"), normalise_url(F.col("alt_url")).alias("b"), "code")
     members = connected_components(e.select("a", "b"))
     sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    # numbered by sorted position: the window is over one row a group
-    named = sizes.select("component", F.format_string("H%04d", F.row_number().over(Window.orderBy("component")) - 1).alias("hreflang_group"))
+    named = numbered(sizes.select("component"), "component", "k").select("component", F.format_string("H%04d", "k").alias("hreflang_group"))
     declared = e.where("code <> '' and code <> 'x-default'").groupBy(F.col("b").alias("node")).agg(F.min("code").alias("declared"))
     out = members.join(named, "component").join(declared, "node", "left")
     return out.select(F.col("node").alias("norm_url"), "hreflang_group", "declared")

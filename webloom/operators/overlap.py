@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from webloom.functions.text import is_thin, word_count
 from webloom.functions.urls import in_section, lang_bucket, path_depth, section_of, time_sequenced, url_relation
+from webloom.operators.ranks import numbered
 from webloom.operators.similarity import cluster_cohesion, complete_linkage, cosine_pairs, single_linkage, usable
 from webloom.scratch import Scratch
 
@@ -101,7 +102,7 @@ def cluster_rows(pages: DataFrame, pairs: DataFrame, members: DataFrame, least:
 
 def named_clusters(rows: DataFrame, prefix: str = "C") -> DataFrame:
     """rows with cluster_id, numbered over all parts by part and smallest member."""
-    ids = rows.select("part", "cluster").distinct().withColumn("cluster_id", F.format_string(f"{prefix}%04d", F.row_number().over(Window.orderBy("part", "cluster")) - 1))
+    ids = numbered(rows.select(F.struct("part", "cluster").alias("key")).distinct(), "key", "k").select("key.part", "key.cluster", F.format_string(f"{prefix}%04d", "k").alias("cluster_id"))
     return rows.join(ids, ["part", "cluster"])
 
 

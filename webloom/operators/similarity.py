@@ -139,7 +139,7 @@ def single_linkage(pairs: DataFrame) -> DataFrame:
     return connected_components(edges).select("node.part", "node.id", F.col("component.id").alias("cluster"))
 
 
-def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: str = "vector") -> DataFrame:
+def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: str = "vector", most: int = 20_000) -> DataFrame:
     """(part, id, cluster): clusters all of whose pairs are at least ``least`` similar, grown from the closest pair.
 
     Components of the pairs never interact, so each is one group; inside, pairs are taken by falling similarity, then id,
@@ -148,6 +148,8 @@ def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: st
     scratch = Scratch(pairs.sparkSession)
     pairs = scratch.cut(pairs, "pairs")
     comp = scratch.cut(single_linkage(pairs), "components")
+    if comp.groupBy("part", "cluster").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).count():
+        raise ValueError(f"a connected component has more than {most} rows")
     edges = scratch.cut(pairs.join(comp.withColumnRenamed("id", "a"), ["part", "a"]).select("part", "cluster", "a", "b", "sim"), "edges")
     units = scratch.cut(unit_rows(rows, vector).join(comp, ["part", "id"]).select("part", "cluster", "id", "vec"), "units")
 

@@ -9,7 +9,8 @@ from html import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from webloom.operators.ranks import numbered
 
 NAMESPACE, PER_FILE = "http://www.sitemaps.org/schemas/sitemap/0.9", 50_000  # fixed values of the protocol
 
@@ -30,12 +31,9 @@ def compact(pages: DataFrame) -> DataFrame:
 def sitemap_files(urls: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """(file_no, xml) of the sorted distinct addresses, ``per_file`` a file.
 
-    Ranks come from per-partition counts of a range-partitioned sort, so no task ever sees all addresses.
+    No task ever sees all addresses.
     """
-    ordered = urls.select("url").where("url <> ''").distinct().repartitionByRange("url").sortWithinPartitions("url").withColumn("p", F.spark_partition_id())
-    counts = ordered.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # one row a partition
-    ranked = ordered.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("url"))).join(before, "p").withColumn("file_no", F.floor((F.col("before") + F.col("r") - 1) / per_file))
+    ranked = numbered(urls.select("url").where("url <> ''").distinct(), "url", "r").withColumn("file_no", F.floor(F.col("r") / per_file))
     entry = F.concat(F.lit("  <url><loc>"), F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</loc></url>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", entry.alias("e")))), lambda x: x["e"]), "\n")  # per_file entries at most
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="{NAMESPACE}">\n'
