@@ -242,7 +242,7 @@ class AbuseModel:
 
 def fit_on(documents: DataFrame, flagged: DataFrame | None = None, sample: int = SAMPLE) -> AbuseModel:
     """A model from ``sample`` documents picked by hash and as many of the labelled ones; documents: doc_id, text."""
-    pick = lambda df: [r.text for r in sampled(df.where("doc_id is not null and text <> ''"), "doc_id", sample).select("text").collect()]
+    pick = lambda df: [r.text for r in sampled(df.where("doc_id is not null and text <> ''").select("doc_id", "text"), sample, "doc_id", "text").select("text").collect()]
     texts = pick(documents)
     if flagged is not None:
         texts += pick(documents.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi"))

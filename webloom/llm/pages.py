@@ -326,13 +326,15 @@ def page_bodies(pages: DataFrame, extractions: DataFrame, sample: int = SAMPLE)
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     pages = pages.where("id is not null").select("id", F.coalesce(plain_host(F.col("url")), F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).distinct()
     texts = extractions.where("id is not null and trim(main_text) <> ''").select("id", "main_text").distinct()
-    texts = texts.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("main_text")), "\n").alias("main_text"))  # a page has few rows
     shares = phrase_shares(pages)
     whole = pages.join(shares, "id", "left").join(texts, "id", "left")
-    trusted = extractions.where("id is not null and trim(main_text) <> '' and confidence = 'high'").select("id").distinct()
+    trusted = extractions.where("id is not null and trim(main_text) <> '' and confidence = 'high'").select("id", "main_text")
     if not trusted.limit(1).count():
-        trusted = texts.select("id")
-    learn = sampled(pages.where("html <> ''").join(trusted, "id", "left_semi"), "id", sample).join(shares, "id", "left").join(texts, "id").collect()
+        trusted = texts
+    one = trusted.groupBy("id").agg(F.min("main_text").alias("main_text"))  # of several rows of a page one will do to learn from
+    chosen = sampled(pages.where("html <> ''").select("id").join(one.select("id"), "id", "left_semi"), sample, "id")
+    first = pages.where("html <> ''").join(chosen, "id", "left_semi").groupBy("id").agg(F.min("html").alias("html"))
+    learn = first.join(shares, "id", "left").join(one, "id").collect()
     pairs = [(dict(zip(r.phrases or [], r.shares or [])), r) for r in learn]
     common: dict[int, float] = {}
     for c, _ in pairs:

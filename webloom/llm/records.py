@@ -25,11 +25,11 @@ def records(spark: SparkSession, folder: str, *columns: str, **made: Column) ->
     return newest(table(spark, folder, "analysis_rows"), *columns, **made)
 
 
-def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """About ``n`` rows with the smallest hashes of ``key``: the same at every run, and never more than n keys.
+def sampled(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The ``n`` rows with the smallest hashes of ``keys``, copies once: the same at every run.
 
     Only hashes go to the driver to find the limit; the rows are then filtered where they are.
     """
-    h = F.xxhash64(key)
+    h = F.xxhash64(*keys)
     last = rows.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
-    return rows.where(h <= last) if last is not None else rows.limit(0)
+    return rows.where(h <= last).dropDuplicates(list(keys)) if last is not None else rows.limit(0)

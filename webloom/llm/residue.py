@@ -196,7 +196,7 @@ def fit(prose_sample: list[str], notice_titles: list[str], rounds: int = 2) -> R
 
 def fit_on(texts: DataFrame, probe_titles: DataFrame | None = None, sample: int = SAMPLE, titles: int = 2_000) -> ResidueModel:
     """A model from ``sample`` texts (id, text) and ``titles`` titles (title), both picked by hash, so at random but repeatably."""
-    picked = sampled(texts.where("id is not null and trim(text) <> ''"), "id", sample).select("text").collect()
+    picked = sampled(texts.where("id is not null and trim(text) <> ''").select("id", "text"), sample, "id", "text").select("text").collect()
     seeds = [] if probe_titles is None else probe_titles.where("trim(title) <> ''").select("title").distinct().orderBy(F.xxhash64("title")).limit(titles).collect()
     return fit([r.text for r in picked], [r.title for r in seeds])
 
