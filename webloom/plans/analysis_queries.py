@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import netloc_of, plain_path
-from webloom.operators import compare, overlap, reports, similarity
+from webloom.operators import compare, overlap, reports, similarity, views
 from webloom.plans import url_queries as u
 from webloom.plans.tables import table
 from webloom.scratch import Scratch
@@ -198,12 +198,22 @@ def report_link_counts(spark, d):
     return reports.link_counts(links)
 
 
+def page_tabs(spark, d):
+    """How many pages of a run belong to each tab."""
+    pages = _pages(spark, d).withColumn("canonical_urls", F.array("url"))
+    return pages.select("run_id", F.explode(views.tabs()).alias("tab")).groupBy("run_id", "tab").agg(F.count("*").alias("n"))
+
+
+def site_structure(spark, d):
+    return views.site_structure(_pages(spark, d), 50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sim_pairs, sim_pairs_by_label, sim_nearest, sim_ann_recall, sim_distribution, sim_percentile_rank, clusters_single, clusters_complete, cluster_cohesion, off_topic, projection, overlap_pairs, overlap_page_risks, overlap_clusters,
         overlap_summary, compare_runs, view_url_moves, view_content_differences, view_schema_comparison, report_overview, report_hubs, report_orphans, report_redirects, report_sitemap, report_indexability, report_frontier,
-        report_next_batch, report_stale, report_archive_missing, report_link_counts,
+        report_next_batch, report_stale, report_archive_missing, report_link_counts, page_tabs, site_structure,
     )
 }
 
@@ -256,7 +266,14 @@ _LABELS = {
     "c5xx": "final_status_code >= 500", "html": "kind = 'html'", "missing_title": "kind = 'html' and coalesce(trim(title), '') = ''", "missing_meta": "kind = 'html' and coalesce(trim(meta_description), '') = ''", "missing_h1": "kind = 'html' and coalesce(trim(h1_tags), '') = ''",
 }
 
+_TABS = {
+    "response-codes": "not coalesce(final_status_code between 200 and 299, false)", "titles": "coalesce(trim(title), '') = ''", "descriptions": "coalesce(trim(meta_description), '') = ''", "headings": "coalesce(trim(h1_tags), '') = ''",
+    "directives": "not coalesce(overall_indexable, true)", "security": "not starts_with(url, 'https://')",
+}
+
 SQL = {
+    "page_tabs": f"with {_PAGES}\n" + "\nunion all ".join(f"select run_id, '{k}' as tab, count(*) as n from pg where {t} group by 1" for k, t in _TABS.items()),
+    "site_structure": f"with {_PAGES} select {u._netloc('url')} as host, coalesce(({u._segments('url')})[1], '/') as section, count(*) as pages from pg group by 1, 2 order by pages desc, host, section limit 50",
     "sim_pairs": f"with {_V}, {_p(LEAST)} select a, b, round(s, 4) as sim from p",
     "sim_pairs_by_label": f"with {_V}, {_p(LEAST, 'and x.label <> y.label')} select a, b, round(s, 4) as sim from p",
     "sim_nearest": f"with {_V}, {_NN} select id, round(nn, 6) as nn from nn",

@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"{_SETTING} must name a folder that all executors share")
     if not getattr(spark, "_webloom_dir", None):
         spark._webloom_dir = tempfile.mkdtemp(prefix="webloom-")
