@@ -277,7 +277,6 @@ SQL = {
     "sim_pairs": f"with {_V}, {_p(LEAST)} select a, b, round(s, 4) as sim from p",
     "sim_pairs_by_label": f"with {_V}, {_p(LEAST, 'and x.label <> y.label')} select a, b, round(s, 4) as sim from p",
     "sim_nearest": f"with {_V}, {_NN} select id, round(nn, 6) as nn from nn",
-    "sim_ann_recall": "select true as enough",
     "sim_distribution": f"""with {_V}, n as (select x.label, x.id, max(list_cosine_similarity(x.e, y.e)) as nn from v x join v y on x.label = y.label and x.id <> y.id group by 1, 2),
 q as (select label, quantile_cont(nn, [0.5, 0.9, 0.95, 0.99, 0.999]) as p from n group by 1), g as (select label, {_GRID} from (select x.label, list_cosine_similarity(x.e, y.e) as s from v x join v y on x.label = y.label and x.id < y.id) group by 1)
 select cast(label as varchar) as part, count(*) as pages, round(any_value(p[1]), 4) as p50, round(any_value(p[2]), 4) as p90, round(any_value(p[3]), 4) as p95, round(any_value(p[4]), 4) as p99, round(any_value(p[5]), 4) as p99_9,

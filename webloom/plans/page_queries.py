@@ -171,7 +171,6 @@ v as (select source_url, target_url, cast(case when coalesce(chain, '') = '' the
 _TUMBLE = "select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2, 3"
 _PATHQ = r"regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) || case when regexp_extract(trim(url), '\?([^#]*)', 1) <> '' then '?' || regexp_extract(trim(url), '\?([^#]*)', 1) else '' end"
 SQL = {
-    "vendor_inventory": """select * from (values ('gtm', 'tag_manager', 'GTM-AB12', 1), ('ga4', 'analytics', 'G-XY9', 1), ('meta-pixel', 'pixel', '123', 1), ('meta-pixel', 'pixel', '', 1), ('universal-analytics', 'analytics', '_ga=GA1.2', 1)) as t(vendor, category, identifier, page_count)""",
     "pages_without_vendor": rf"""with {_PG} select url from pg where not regexp_matches(coalesce(html, ''), 'googletagmanager\.com/gtag/js\?id=G-[A-Z0-9]+|gtag\([''"]config[''"],\s*[''"]G-[A-Z0-9]+[''"]|dataLayer\.push\(\{{[^}}]*[''"]gtag\.config[''"]')""",
     "challenges": f"""select url_id, case when regexp_matches(lower(html), 'just a moment\\.\\.\\.|__cf_chl_|cf_chl_opt') then 'cloudflare' when contains(lower(html), 'px-captcha') and status in (403, 429) then 'perimeterx' when contains(cookie, '_abck') and status in (403, 429) then 'akamai' else '' end as vendor from ({PAGES})""",
     "custom_rules": rf"""select url_id, coalesce(array_to_string(regexp_extract_all(html, 'price: (\d+) EUR', 1), chr(10)), '') as prices, regexp_extract(html, 'price: (\d+)', 1) as first from ({PAGES})""",
