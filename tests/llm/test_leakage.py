@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from webloom.llm.leakage import Items, alike, leaked_passages, longest_matches, without_leaks, words_of
+from webloom.llm.leakage import Items, alike, leaked_passages, longest_matches, search_shard, without_leaks, words_of
 
 ITEM = "The keeper of Caltaldru wrote that handle and drawer were traded at 433 to 8 beside the Mirnibpal gate while Lowfencal slept"
 
@@ -24,6 +24,13 @@ def test_what_counts(spark):
     assert found(spark, texts, []) == set() == found(spark, [None])
 
 
+def test_many_copies_do_not_break_chains():
+    words = words_of(ITEM)
+    edited = ["zzz" if k % 5 == 4 else w for k, w in enumerate(words)]
+    doc = [w for _ in range(12) for w in [*edited, *["filler"] * 20]]
+    assert [(d, i) for d, i, *_ in search_shard(Items([7, *(i for i, _ in KIN)], [ITEM, *(t for _, t in KIN)]), [doc], 15, 0.75)] == [(0, 0)]
+
+
 def test_removal(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id long, text string")
     leaks = leaked_passages(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string"))

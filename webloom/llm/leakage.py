@@ -173,16 +173,25 @@ def search_shard(items: Items, docs: list[list[str]], words: int, share: float)
         d, i = int(doc[lo]), int(item[lo])
         # chains: ends within GAP words of the next start on both sides
         chains: list[list[float]] = []
+        ends: dict[int, list[int]] = {}  # place in the shard -> chains that end there
         for k, g in zip(range(lo, hi), got):
             a, b, n = int(p[k]), int(q[k]), int(size[k])
             r = int(n_rare[k])
-            for c in reversed(chains[-6:]):
-                if -n < b - c[3] <= GAP and -n < a - c[2] <= GAP:
-                    c[2], c[3], c[4] = max(c[2], a + n), max(c[3], b + n), c[4] + g
-                    c[5] += r
-                    break
-            else:
+            last = -1
+            for e in range(a - GAP, a + n):
+                if e in ends:
+                    ends[e] = [x for x in ends[e] if b - chains[x][3] <= GAP]  # matches come by place in the item
+                    last = max(last, *(x for x in ends[e] if -n < b - chains[x][3]), -1)
+            if last < 0:
                 chains.append([a, b, a + n, b + n, g, r])
+                ends.setdefault(a + n, []).append(len(chains) - 1)
+                continue
+            c = chains[last]
+            if a + n > c[2]:
+                ends[c[2]].remove(last)
+                ends.setdefault(a + n, []).append(last)
+            c[2], c[3], c[4] = max(c[2], a + n), max(c[3], b + n), c[4] + g
+            c[5] += r
         for c in chains:
             span = gained[int(c[3])] - gained[int(c[1])]
             if not c[5] or c[3] - c[1] < min(words, len(items.words[i])) - 8 or c[4] < 0.4 * span:
