@@ -53,3 +53,20 @@ def test_scores_and_rates(spark):
     rates = {(r.source, r.category): r for r in source_rates(scores).collect()}
     assert set(rates) == {(s, c) for s in ("blog", "forum", None) for c in CATEGORIES} and rates["blog", "abuse"].n_flagged > 0
     assert abuse_scores(df.limit(0), fit_on(df.limit(0))).count() == 0
+
+
+def test_voters_count_outside_the_sample(spark):
+    rare = "Hey, zorblax vuntik qesh: you wombly quandrel scumbag, shut up"
+    rows = [(i, t) for i, t in enumerate(CALM * 20 + [BAD["hate"][0], BAD["sexual"][0]] * 3)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, rare + "!" * i) for i in range(40))], "doc_id long, text string").withColumn("source", F.lit("blog"))
+    m = fit_on(docs, sample=1)
+    assert m.score([rare])[0, 0] >= 0.5 and abuse_scores(docs.where("doc_id >= 1000"), m).where("abuse < 0.5").count() == 0
+    assert not any(m.score([t])[0, 0] >= 0.5 for t in CALM)
+
+
+def test_label_model_from_counted_patterns():
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 3)) < (0.3, 0.2, 0.4)
+    one, n = np.unique(x, axis=0, return_counts=True)
+    a, b = LabelModel(x, np.array([1, 1, -1])), LabelModel(one, np.array([1, 1, -1]), times=n)
+    assert a.groups == b.groups and np.allclose([*a.on, *a.off, a.prior], [*b.on, *b.off, b.prior])

@@ -1,15 +1,17 @@
 """Abusive, hateful and sexually explicit text, by weak supervision.
 
 Voters are word lists and patterns over a sentence whose disguises (figures for vowels, stars, spaced or
-repeated letters) are undone first.  A generative label model per category infers from a bounded
-sample of documents, without trusting any voter, how often each votes on true and on other sentences; voters that
-agree beyond what the label explains are found from their correlations and share one vote.  Its
-posteriors train a linear classifier over words and word pairs, which scores every sentence of every
-document; a document's score is that of its worst sentence.
+repeated letters) are undone first.  A generative label model per category infers from the voters' firing
+patterns over the sentences of all documents, without trusting any voter, how often each votes on true and on other
+sentences; voters that agree beyond what the label explains are found from their correlations and share one vote.  Its
+posteriors on a bounded sample train a linear classifier over words and word pairs.  Every sentence of every
+document scores the greater of the classifier's probability and the label model's posterior, so that a voter
+counts whether or not the sample holds the words; a document's score is that of its worst sentence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -102,25 +104,33 @@ def votes(sentence_list: list[str]) -> np.ndarray:
     return np.array([[p.search(s) is not None for *_, p in VOTERS] for s in sentence_list], dtype=bool).reshape(len(sentence_list), len(VOTERS))
 
 
+def _voters_of(category: str) -> list[int]:
+    return [k for k, (_, cat, _, _) in enumerate(VOTERS) if cat in (category, "")]
+
+
 class LabelModel:
     """P(voter fires | category) and P(fires | not) for the voters of one category, with correlated voters sharing a vote."""
 
-    def __init__(self, fired: np.ndarray, polarity: np.ndarray, prior: float = 0.02, rounds: int = 25):
-        n, k = fired.shape
+    def __init__(self, fired: np.ndarray, polarity: np.ndarray, prior: float = 0.02, rounds: int = 25, times: np.ndarray | None = None):
+        """fired: a row per sentence, or per pattern that ``times`` sentences have."""
+        k = fired.shape[1]
+        times = np.ones(len(fired)) if times is None else times.astype(float)
+        n = times.sum()
         self.polarity = polarity
         on = np.where(polarity > 0, 0.4, 0.02)
-        off = np.where(polarity > 0, 0.002, np.clip(fired.mean(0), 0.01, 0.6))
+        off = np.where(polarity > 0, 0.002, np.clip(times @ fired / n, 0.01, 0.6))
         self.groups = [[i] for i in range(k)]
         x = fired.astype(float)
         for r in range(rounds):
             p = self._posterior(x, on, off, prior)
-            mass = p.sum()
+            of, rest = p * times, (1 - p) * times
+            mass = of.sum()
             # beta priors keep a voter on its side until the data speak clearly
-            on = (p @ x + np.where(polarity > 0, 4, 0.2)) / (mass + np.where(polarity > 0, 10, 10))
-            off = ((1 - p) @ x + np.where(polarity > 0, 0.02, 1)) / (n - mass + 10)
+            on = (of @ x + np.where(polarity > 0, 4, 0.2)) / (mass + np.where(polarity > 0, 10, 10))
+            off = (rest @ x + np.where(polarity > 0, 0.02, 1)) / (n - mass + 10)
             prior = float(np.clip((mass + 1) / (n + 50), 5e-3, 0.3))
             if r == rounds // 2:
-                self.groups = self._correlated(x, p)
+                self.groups = self._correlated(x, of)
         self.on, self.off, self.prior = on, off, prior
 
     @staticmethod
@@ -186,17 +196,18 @@ class AbuseModel:
         self.labels: dict[str, LabelModel] = {}
 
     @classmethod
-    def fit(cls, texts: list[str], rounds: int = 10, rate: float = 0.6) -> AbuseModel:
-        """Label models and classifiers from a sample of documents; equal sentences count once."""
+    def fit(cls, texts: list[str], rounds: int = 10, rate: float = 0.6, counted: tuple[np.ndarray, np.ndarray] | None = None) -> AbuseModel:
+        """Classifiers from a sample of documents, label models from ``counted`` patterns or else the sample; equal sentences count once."""
         m = cls()
         every = sorted({s for t in texts for s in sentences(t)})
         fired = votes(every)
-        if not every or not fired.any():
+        patterns, times = counted or (fired, np.ones(len(every)))
+        if not every or not patterns.any():
             return m
         at, start = _features(every)
         for c in CATEGORIES:
-            use = [k for k, (_, cat, _, _) in enumerate(VOTERS) if cat in (c, "")]
-            label = m.labels[c] = LabelModel(fired[:, use], np.array([VOTERS[k][2] for k in use]))
+            use = _voters_of(c)
+            label = m.labels[c] = LabelModel(patterns[:, use], np.array([VOTERS[k][2] for k in use]), times=times)
             y = label.posterior(fired[:, use])
             m.weights[c] = cls._train(at, start, y, rounds, rate)
         return m
@@ -234,19 +245,41 @@ class AbuseModel:
             return out
         at, start = _features(every)
         owner = np.repeat(np.arange(len(texts)), [len(ss) for ss in split])
+        number = {s: n for n, s in enumerate(dict.fromkeys(every))}
+        fired, which = votes(list(number)), np.array([number[s] for s in every])
         for k, c in enumerate(CATEGORIES):
             z = np.add.reduceat(self.weights[c][at[0]] + self.weights[c][at[1]], start[:-1]) / np.sqrt(np.diff(start))
             np.maximum.at(out[:, k], owner, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            if c in self.labels:
+                np.maximum.at(out[:, k], owner, self.labels[c].posterior(fired[:, _voters_of(c)])[which])
         return out
 
 
+def firing_patterns(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns in which voters fire on the different sentences of all documents, and how many sentences have each."""
+
+    def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            every = list({s for t in pdf.text for s in sentences(t)})
+            key = [int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for s in every]
+            yield pd.DataFrame({"sentence": np.array(key, dtype=np.int64), "pattern": votes(every) @ (1 << np.arange(len(VOTERS), dtype=np.int64))})
+
+    each = documents.where("doc_id is not null and text <> ''").select("text").mapInPandas(fire, "sentence long, pattern long")
+    rows = each.groupBy("sentence").agg(F.min("pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 2^voters at most
+    patterns = np.array([r.pattern for r in rows], dtype=np.int64)
+    return (patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool), np.array([r.n for r in rows], dtype=np.int64)
+
+
 def fit_on(documents: DataFrame, flagged: DataFrame | None = None, sample: int = SAMPLE) -> AbuseModel:
-    """A model from ``sample`` documents picked by hash and as many of the labelled ones; documents: doc_id, text."""
+    """A model whose voters are judged on all documents, its classifier fitted on ``sample`` picked by hash and as many of the labelled ones.
+
+    documents: doc_id, text.
+    """
     pick = lambda df: [r.text for r in sampled(df.where("doc_id is not null and text <> ''").select("doc_id", "text"), sample, "doc_id", "text").select("text").collect()]
     texts = pick(documents)
     if flagged is not None:
         texts += pick(documents.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return AbuseModel.fit(texts)
+    return AbuseModel.fit(texts, counted=firing_patterns(documents))
 
 
 def abuse_scores(documents: DataFrame, model: AbuseModel) -> DataFrame:
