@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,16 @@ def test_random_projections_recall(spark):
     assert similarity.recall(exact.limit(0), near).first().recall == 1.0
 
 
+def test_complete_linkage_of_components_beyond_a_task(spark):
+    df = spark.createDataFrame(vectors(60, 4, 5, ("a", "b")), VEC)
+    pairs = similarity.cosine_pairs(df, 0.6)
+    some = pairs.where("(a + b) % 7 <> 0")  # similar but no link
+    for p in (pairs, some):
+        want, got = (sorted(map(tuple, similarity.complete_linkage(p, df, 0.6, **k).collect())) for k in ({}, {"in_task": 5}))
+        assert want and got == want
+    assert inspect.signature(similarity.complete_linkage).parameters["most"].default is None  # no component is refused unasked
+
+
 def test_linkage_and_cohesion(spark):
     rows = vectors(40, 8, 3, ("a",))
     u = unit(rows)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from webloom.operators.components import connected_components
 from webloom.scratch import Scratch
 
-BLOCK, GRID_LOW, SAMPLE_CAP = 1024, 0.80, 50
+BLOCK, GRID_LOW, SAMPLE_CAP, IN_TASK = 1024, 0.80, 50, 2_000
 
 
 def unit_rows(rows: DataFrame, vector: str = "vector") -> DataFrame:
@@ -139,17 +139,22 @@ def single_linkage(pairs: DataFrame) -> DataFrame:
     return connected_components(edges).select("node.part", "node.id", F.col("component.id").alias("cluster"))
 
 
-def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: str = "vector", most: int = 20_000) -> DataFrame:
+def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: str = "vector", most: int | None = None, in_task: int = IN_TASK) -> DataFrame:
     """(part, id, cluster): clusters all of whose pairs are at least ``least`` similar, grown from the closest pair.
 
-    Components of the pairs never interact, so each is one group; inside, pairs are taken by falling similarity, then id,
-    and clusters merge if every cross pair is similar enough.  Cluster is the smallest id; rows in no cluster have no row.
+    Components of the pairs never interact, so each of up to ``in_task`` rows is one group; inside, pairs are taken by
+    falling similarity, then id, and clusters merge if every cross pair is similar enough.  Larger components grow by
+    joins to the same clusters.  Cluster is the smallest id; rows in no cluster have no row.  With ``most``, larger
+    components are refused.
     """
     scratch = Scratch(pairs.sparkSession)
     pairs = scratch.cut(pairs, "pairs")
     comp = scratch.cut(single_linkage(pairs), "components")
-    if comp.groupBy("part", "cluster").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).count():
+    sizes = comp.groupBy("part", "cluster").agg(F.count("*").alias("n"))
+    if most is not None and sizes.where(F.col("n") > most).limit(1).count():
         raise ValueError(f"a connected component has more than {most} rows")
+    sized = scratch.cut(comp.join(sizes, ["part", "cluster"]), "sized")
+    large, comp = (sized.where(test).select("part", "id", "cluster") for test in (F.col("n") > in_task, F.col("n") <= in_task))
     edges = scratch.cut(pairs.join(comp.withColumnRenamed("id", "a"), ["part", "a"]).select("part", "cluster", "a", "b", "sim"), "edges")
     units = scratch.cut(unit_rows(rows, vector).join(comp, ["part", "id"]).select("part", "cluster", "id", "vec"), "units")
 
@@ -178,7 +183,43 @@ def complete_linkage(pairs: DataFrame, rows: DataFrame, least: float, vector: st
         rows = [(key[0], i, m[0]) for m in members if len(m) > 1 for i in m]
         return pd.DataFrame(rows, columns=["part", "id", "cluster"])
 
-    return edges.groupBy("part", "cluster").cogroup(units.groupBy("part", "cluster")).applyInPandas(grow, "part string, id long, cluster long")
+    out = edges.groupBy("part", "cluster").cogroup(units.groupBy("part", "cluster")).applyInPandas(grow, "part string, id long, cluster long")
+    return out.unionByName(_grown_by_joins(scratch, pairs, rows, large, least, vector)) if large.limit(1).count() else out
+
+
+def _grown_by_joins(scratch: Scratch, pairs: DataFrame, rows: DataFrame, ids: DataFrame, least: float, vector: str) -> DataFrame:
+    """Complete linkage of the rows of ``ids`` in rounds that each merge all clusters whose first link is each other's.
+
+    A link between two clusters can't rise when others merge, so these merges are those of the sequential order.  Two
+    clusters with a cross pair that isn't similar never merge and are dropped.  Rounds are few unless many
+    similarities are equal or fall along a chain: each round merges at least one pair.
+    """
+    key = ["part", "a", "b"]
+    ids = ids.select("part", "id")
+    near = cosine_pairs(rows.join(ids, ["part", "id"], "left_semi"), least, vector=vector).select(*key)
+    links = pairs.join(ids.withColumnRenamed("id", "a"), ["part", "a"], "left_semi").select(*key, F.struct("sim", (-F.col("a")).alias("x"), (-F.col("b")).alias("y")).alias("first"))
+    live = scratch.cut(near.join(links, key, "full_outer").select(*key, F.lit(1).cast("long").alias("n"), "first"), "live")
+    members = scratch.cut(ids.withColumn("cluster", F.col("id")), "members")
+    while True:
+        ends = live.where("first is not null").select("part", "first", F.explode(F.array("a", "b")).alias("c")).groupBy("part", "c").agg(F.max("first").alias("first"))
+        mutual = ends.groupBy("part", "first").agg(F.count("*").alias("n"), F.min("c").alias("keep"), F.max("c").alias("gone")).where("n = 2")
+        merges = scratch.cut(mutual.select("part", "gone", "keep"), "merges")
+        if not merges.limit(1).count():
+            break
+
+        def renamed(df: DataFrame, c: str) -> DataFrame:
+            return df.join(merges.select("part", F.col("gone").alias(c), "keep"), ["part", c], "left").withColumn(c, F.coalesce("keep", c)).drop("keep")  # noqa: B023
+
+        grown = scratch.cut(renamed(members, "cluster").select("part", "id", "cluster"), "members")
+        sizes = grown.groupBy("part", "cluster").agg(F.count("*").alias("size"))
+        size = {c: sizes.select("part", F.col("cluster").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab"}
+        met = renamed(renamed(live, "a"), "b").where("a <> b").select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "first")
+        met = met.groupBy(*key).agg(F.sum("n").alias("n"), F.max("first").alias("first")).join(size["a"], ["part", "a"]).join(size["b"], ["part", "b"])
+        kept = scratch.cut(met.where("n = size_a * size_b").select(*key, "n", "first"), "live")
+        scratch.drop(live, members, merges)
+        live, members = kept, grown
+    found = members.groupBy("part", "cluster").agg(F.count("*").alias("n")).where("n > 1").select("part", "cluster")
+    return members.join(found, ["part", "cluster"], "left_semi").select("part", "id", "cluster")
 
 
 def cluster_cohesion(clusters: DataFrame, rows: DataFrame, block: int = BLOCK, vector: str = "vector") -> DataFrame:
