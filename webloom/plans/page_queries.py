@@ -47,12 +47,13 @@ def _fixture(spark):
 
 
 def vendor_hits(spark, d):
-    hits = _fixture(spark).select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.col("cookie"))).alias("h"))
+    """Vendors of each page; the table has no cookies."""
+    hits = _html(spark, d).select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.lit(""))).alias("h"))
     return hits.select("url_id", "h.vendor", F.coalesce("h.identifier", F.lit("")).alias("identifier"), "h.evidence_type", "h.confidence")
 
 
 def vendor_inventory(spark, d):
-    pages = _fixture(spark).select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.col("cookie")).alias("analytics"))
+    pages = _html(spark, d).select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.lit("")).alias("analytics"))
     return reports.vendor_inventory(pages).select("vendor", "category", F.coalesce("identifier", F.lit("")).alias("identifier"), "page_count")
 
 
@@ -62,7 +63,8 @@ def pages_without_vendor(spark, d):
 
 
 def cms_detected(spark, d):
-    out = _fixture(spark).select("url_id", detect.detected_cms(F.col("html"), F.col("headers")).alias("c"))
+    """System of each page; the table has no headers."""
+    out = _html(spark, d).select("url_id", detect.detected_cms(F.col("html"), F.lit(None).cast("map<string,string>")).alias("c"))
     return out.select("url_id", F.coalesce("c.cms_name", F.lit("")).alias("cms"), "c.confidence")
 
 
