@@ -15,25 +15,50 @@ LANGS = {
 
 
 def test_residue_model():
-    m = residue.fit(PROSE, ["this shelf is empty"])
-    bad = ["{{ title }}\n[[price]]", "lorem ipsum dolor sit amet, dolor ipsum elit", "Page not found.", "Error 404: this page is not available on the server.", "Bitte aktivieren Sie JavaScript, um fortzufahren.", "asdf asdf qwer", "This shelf is empty"]
+    m = residue.fit([*PROSE, "{{ title }} <%= price %>"], ["this shelf is empty"])
+    bad = ["{{ title }}\n[[price]]", "lorem ipsum dolor sit amet, dolor ipsum elit", "Page not found.", "404 Not Found", "asdf sdfg asdf dfgh", "This shelf is empty"]
     good = [*PROSE[:4], "Write {{ title }} in the template. " + PROSE[0] + PROSE[1], "The page says: page not found. " + PROSE[0] + PROSE[1] + PROSE[1]]
     assert (m.coverage(bad) >= residue.COVER).all() and (m.coverage(good) < residue.COVER).all()
     assert len(m.coverage([])) == 0 and residue.fit([], []).coverage(["", "page not found"])[1] > 0.5
 
 
+def test_residue_is_learned_from_hosts(spark):
+    """Wording no seed holds: repeated on three hosts, said under a notice's title, or beside either."""
+    rows = [(f"h{k % 9}", f"Title {k}", " ".join(PROSE[k : k + 3])) for k in range(20)]
+    rows += [(f"h{k}", "", "Dieser Regalplatz wurde geräumt.") for k in range(3)]
+    rows += [("h4", "Vacant 12", "Our shed keeps no barrow under that label. Ask the yard keeper for another barrow.")]
+    rows += [("h5", "", "Our shed keeps no barrow. Dieser Regalplatz wurde geräumt.")]
+    df = spark.createDataFrame(rows, "host string, title string, text string")
+    m = residue.fit_on(df, spark.createDataFrame([("vacant 7",), (None,)], "title string"))
+    bad = ["Ask the yard keeper for another barrow.", "Dieser Regalplatz wurde geräumt.", "Our shed keeps no barrow. Dieser Regalplatz wurde geräumt."]
+    assert (m.coverage(bad) >= residue.COVER).all() and (m.coverage(PROSE[:4]) < residue.COVER).all()
+
+
+def test_dummy_text_of_other_words():
+    """Words of the public passages' kind, hardly any of which they hold."""
+    odd = [f"Consetur magnibus doloret ipsumque veniatur, laborem quisquat nostrudit aliquamet {w}." for w in ("tempus", "eiusdem", "fugitat", "nullam")]
+    assert (residue.fit(PROSE * 4 + odd, []).coverage(odd) >= residue.COVER).all()
+
+
 def test_residue_queries(spark):
     m = residue.fit(PROSE, [])
     df = spark.createDataFrame([(1, PROSE[0] + "\nPage not found."), (2, "Page not found."), (3, None), (4, "  "), (None, "x"), (2, "Page not found."), (5, PROSE[1] * 3000)], "id long, text string").withColumn("coverage", F.lit("clash"))
     assert sorted(r.id for r in residue.residue_coverage(df, m).collect() if r.coverage >= residue.COVER) == [2, 2]
     assert {(r.id, r.line_no) for r in residue.residue_lines(df, m).collect()} == {(1, 2), (2, 1)}
     assert residue.residue_coverage(df.limit(0), m).count() == 0
-    assert residue.fit_on(df.limit(0)).coverage(["page not found"])[0] > 0.5
+    none = spark.createDataFrame([], "host string, title string, text string, extra int")
+    assert residue.fit_on(none).coverage(["page not found"])[0] > 0.5
+    odd = spark.createDataFrame([(None, None, None), (None, None, " "), ("h", None, "word " * 30_000), ("h", None, "word " * 30_000)], "host string, title string, text string")
+    assert residue.fit_on(odd, odd.select("title")).coverage(["page not found"])[0] > 0.5
+
+
+def test_codes_and_numbers_are_one():
+    assert residue.plain("Ray 4qi8fgtw6, (5jhz0) on 12\u00a0May") == "ray 0, (0) on 0 may"
 
 
 def test_titles_of_notices(spark):
     probes = spark.createDataFrame([("Nothing here",), ("Start  page",), (None,)], "title string")
-    pages = spark.createDataFrame([("start page", "word " * 80), ("nothing here", "short")], "title string, text string")
+    pages = spark.createDataFrame([("start page", "word " * 80), ("nothing here", "short"), (None, None)], "title string, text string")
     assert [r.title for r in residue.notice_titles(probes, pages).collect()] == ["Nothing here"]
 
 

@@ -1,82 +1,86 @@
 """Template residue, filler and notices in place of content.
 
-Three character n-gram models are compared: filler, notices and natural prose.  Filler and notices
-start from the short phrases below and from the titles hosts give to made-up addresses; prose is a bounded
-sample of the corpus, of which only texts with the function words of running prose are taken.  Self-training
-adds sampled texts without these that the first models call residue almost throughout.  Every character then has a log-likelihood ratio
-of the better residue model against prose; the mean over a window localises residue, and a record is
-excluded by the share of its text inside such windows.
+Three character n-gram models are compared: filler, notices and natural prose.  None of them is given the
+wording of a site.  Filler starts from the public dummy passages and from runs of keys; notices start from the
+reason phrases of HTTP, from the titles hosts give to made-up addresses, from what pages under such a title
+say, and from short texts that several hosts repeat as a whole.  Prose is every text at first.  Then, for some rounds,
+all texts are scored and each counts for the model it was given to, so that forms of residue which no seed holds are
+learned from the texts they share words with.  All counts run over all texts.
+
+Every character has a log-likelihood ratio of the better residue model against prose; the mean over a window
+localises residue, template slots count as residue, and a record is excluded by the share of its text inside such windows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.records import sampled
+BITS, ORDERS, WINDOW, SMOOTH, COVER, ROUNDS = 20, (3, 4, 5), 28, 0.1, 0.5, 2
+HOSTS, SHORT = 3, 400  # a short text that so many hosts repeat as a whole is a notice to learn from
+PROSE, FILLED, NOTICE = 0, 1, 2
 
-BITS, ORDERS, WINDOW, SMOOTH, COVER, SAMPLE = 20, (3, 4, 5), 28, 0.1, 0.5, 6_000
-
-# What unfilled templates, filler and notices commonly say.
+# The public dummy passages, and what editors and runtimes put in place of content.
 FILLER = [
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
-    "at vero eos et accusam et justo duo dolores et ea rebum stet clita kasd gubergren no sea takimata sanctus est", "test test test", "testing 123", "asdf asdf qwer qwer sdfg jkl xx xxx asdfasdf qwerty", "text text text text", "sample text sample text",
-    "paragraph 1 sample text", "blindtext blindtext", "heading placeholder", "body text placeholder", "button label", "your headline goes here", "add a short description of your business in this box", "[insert introduction here]", "[insert second paragraph here]",
-    "insert text here", "todo: write copy for this section", "todo", "tbd", "tba", "hello world! this is a sample page, edit or delete it and start", "this is a sample page", "undefined", "null", "nan", "[object object]", "has shared items with you on", "dear , your order leaves on",
-    "welcome to , your place for", "showing of results for", "buy from at left in stock", "traceback: template render failed at line, key is missing", "placeholder", "coming soon", "click here to edit", "replace this text", "your text here", "write something about yourself",
+    "lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna "
+    "aliqua. ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. excepteur sint "
+    "occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, "
+    "eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo. nemo enim ipsam "
+    "voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione "
+    "voluptatem sequi nesciunt. neque porro quisquam est, qui dolorem ipsum quia dolor sit amet, consectetur, adipisci "
+    "velit, sed quia non numquam eius modi tempora incidunt ut labore et dolore magnam aliquam quaerat voluptatem. ut enim "
+    "ad minima veniam, quis nostrum exercitationem ullam corporis suscipit laboriosam, nisi ut aliquid ex ea commodi "
+    "consequatur? quis autem vel eum iure reprehenderit qui in ea voluptate velit esse quam nihil molestiae consequatur, "
+    "vel illum qui dolorem eum fugiat quo voluptas nulla pariatur?",
+    "at vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque "
+    "corrupti quos dolores et quas molestias excepturi sint occaecati cupiditate non provident, similique sunt in culpa qui "
+    "officia deserunt mollitia animi, id est laborum et dolorum fuga. et harum quidem rerum facilis est et expedita "
+    "distinctio. nam libero tempore, cum soluta nobis est eligendi optio cumque nihil impedit quo minus id quod maxime "
+    "placeat facere possimus, omnis voluptas assumenda est, omnis dolor repellendus. temporibus autem quibusdam et aut "
+    "officiis debitis aut rerum necessitatibus saepe eveniet ut et voluptates repudiandae sint et molestiae non recusandae. "
+    "itaque earum rerum hic tenetur a sapiente delectus, ut aut reiciendis voluptatibus maiores alias consequatur aut "
+    "perferendis doloribus asperiores repellat.",
+    "test test test", "blindtext", "placeholder", "sample text", "your text here", "insert text here", "todo", "tbd", "undefined", "null",
+    "nan", "[object object]", "hello world!", "click edit button to change this text.", "edit or delete it, then start writing!",
 ]
 NOTICES = [
-    "page not found", "error 404: this page is not available on the server", "http status 404", "the requested url was not found on this server", "this page no longer exists or has moved", "oops! that link seems to be broken", "we looked everywhere, yet nothing lives at this address any more",
-    "please check the spelling of the address or go back to the start page", "return to homepage", "search our site", "browse all sections", "use the search box above or pick a section from the list", "this listing has been withdrawn and there is nothing to show here",
-    "fatal error in /var/www/html/index.php on line 42", "fatal exception in /srv/site/main.php on line 7", "could not connect to the database: error (2006)", "database connection timeout", "reference 4f2a91c", "request id 9c1b77e0", "this content has gone away", "this page has gone away",
-    "we are sorry, the content you tried to open could not be found", "hmm, the page you tried to open could not be found", "here are some places other visitors like", "most wanted this week", "tell us what you were hoping for and we will answer within two days", "let us bring you back on the trail", "no results. your search for 'item' matched 0 documents", "nothing matched your search",
-    "access to this resource is denied for your account", "access denied", "forbidden", "your session has expired, sign in again", "please log in to continue", "too many requests from your network, slow down and retry in 30 seconds", "service temporarily unavailable for maintenance, please come back later",
-    "the upstream server did not answer in time", "bad gateway", "internal server error", "an unexpected error occurred while handling your request", "incident was logged", "if the problem persists, contact the site owner", "nginx", "server: node-1", "try again in 5 minutes", "sorry", "unfortunately",
-    "please enable javascript to continue", "javascript must be enabled to view this page", "you need to allow scripts and cookies before you can use this site", "your browser does not run javascript or has it turned off", "this application needs scripts to run. switch them on in your browser and reload",
-    "pages on this site do not work without scripts", "loading… if nothing happens, scripts may be blocked on this device", "checking that your browser is genuine, this takes 5 seconds", "verify that you are human by completing the step below", "one more step: tick the box to prove you are not a robot. ray", "just a moment",
-    "die angeforderte seite wurde leider nicht gefunden", "dieser inhalt ist nicht mehr verfügbar (code 404)", "zur startseite", "bitte aktivieren sie javascript, um diese seite zu nutzen", "bitte aktivieren sie javascript, um fortzufahren", "bitte aktivieren sie javascript, um den katalog zu sehen", "seite nicht gefunden", "zugriff verweigert",
-    "cette page n'existe plus ou a changé d'adresse", "une erreur est survenue, veuillez réessayer plus tard", "retour à l'accueil", "veuillez activer javascript pour continuer", "veuillez activer javascript pour afficher cette page", "veuillez activer javascript pour consulter le site", "page introuvable", "accès refusé",
-    "la página solicitada no existe en este servidor", "volver al inicio", "activa javascript en tu navegador para continuar", "página no encontrada", "acceso denegado", "la pagina richiesta non è stata trovata", "torna alla home", "attiva javascript nel browser per continuare", "accesso negato",
-    "esta página já não existe", "voltar ao início", "ative o javascript para continuar", "página não encontrada", "deze pagina bestaat niet meer", "terug naar de startpagina", "schakel javascript in om verder te gaan", "pagina niet gevonden",
-    "nie znaleziono takiej strony", "wróć na stronę główną", "włącz obsługę javascript, aby kontynuować", "sidan du letade efter finns inte", "tillbaka till startsidan", "aktivera javascript för att fortsätta", "запрошенная страница не найдена", "вернуться на главную", "включите скрипты в браузере, чтобы продолжить", "доступ запрещён",
-    "お探しのページは見つかりませんでした。", "トップページへ戻る", "続けるには javascript を有効にしてください。", "アクセスが拒否されました。",
+    "page not found", "access denied", "you need to enable javascript to run this app.", "just a moment...",
+    "please enable javascript and cookies to continue", "checking your browser before accessing",
 ]
-FUNCTION_WORDS = (
-    "the of and to in that is for on with as by an from this which at are "
-    "der die das und ist nicht mit den von ein eine auf für im zu dem "
-    "le la les des et est une dans que pour du par sur au aux "
-    "el los las y es que un una por con para del se "
-    "il lo gli che di e è un una per con nel della dei "
-    "o os as e é que um uma por com para do da dos no na "
-    "de het een en van is dat op te met voor niet bij "
-    "w i na z jest nie się do że oraz po dla od przez "
-    "och att det som en ett på av är för med till den "
-    "и в на не с что по для из к о от как"
-).split()
-_SLOT = re.compile(r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,80}?%\}|<%[^\n]{0,80}?%>|\[\[[^\[\]\n]{0,80}\]\]|[$#]\{[^{}\n]{0,80}\}|@@[^@\n]{1,60}@@|__[A-Za-z0-9_.]{1,60}__|%[A-Za-z_][\w.]{1,60}%|%\d\$[a-z]|\{\d\}")
-_FUNCTION = frozenset(FUNCTION_WORDS)
-_DIGITS = re.compile(r"\d+")
+KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_SLOT = re.compile(
+    r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,80}?%\}|<%[^\n]{0,80}?%>|\[\[[^\[\]\n]{0,80}\]\]|[$#]\{[^{}\n]{0,80}\}"
+    r"|@@[^@\n]{1,60}@@|__[A-Za-z0-9_.]{1,60}__|%[A-Za-z_][\w.]{1,60}%|%\d\$[a-z]|\{\d\}"
+)
+_NUMBERED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+\d\w*+")  # numbers, and codes with a figure in them
+
+
+def public_seeds() -> tuple[list[str], list[str]]:
+    """Filler and notices everyone knows: the lists above, runs of neighbouring keys, and the reason phrases of HTTP."""
+    runs = [" ".join(row[i : i + k] for i in range(len(row) - k + 1)) for row in KEYS for k in (3, 4)]
+    reasons = [f"{x.value} {x.phrase}. {x.description}" for x in HTTPStatus if x.value >= 400]
+    return [*FILLER, *runs, *KEYS, "xxx xx xxx"], [*NOTICES, *reasons]
 
 
 def plain(text: str) -> str:
-    """Lower case, numbers as 0, template slots as runs of one sign, blanks single."""
+    """Lower case, numbers and codes as 0, template slots as runs of one sign, blanks single."""
     if "{" in text or "%" in text or "[" in text or "@" in text or "__" in text:
         text = _SLOT.sub(lambda m: "\x01" * max(4, len(m[0])), text)
-    return " ".join(_DIGITS.sub("0", text.lower()).split())
+    return " ".join(_NUMBERED.sub("0", text.lower()).split())
 
 
-def natural(text: str, least: int = 25, share: float = 0.15) -> bool:
-    """Whether a text has the function words, or in Japanese the kana, of running prose."""
-    kana = sum("\u3041" <= c <= "\u30ff" for c in text)
-    if kana > 0.2 * len(text):
-        return len(text) >= 2 * least and len(set(text)) >= 20
-    words = text.lower().split()
-    return len(words) >= least and len(set(words)) >= 0.25 * least and sum(w in _FUNCTION for w in words) >= share * len(words)
+def text_key(text: Column) -> Column:
+    """One spelling for texts that differ in case, blanks, numbers and codes only."""
+    codes = F.regexp_replace(F.lower(text), r"(?<![\p{L}])\p{L}*+\d[\p{L}\d_]*+", "0")
+    return F.trim(F.regexp_replace(codes, r"[\s\x{00A0}]+", " "))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +116,20 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def _counts(texts: list[str]) -> dict[int, np.ndarray]:
-    out = {k: np.zeros(1 << BITS, dtype=np.float32) for k in ORDERS}
+def _add(cells: np.ndarray, texts: list[str]) -> None:
+    """Count the n-grams of plain texts into ``cells``, a row per order."""
     for block in _blocks(texts):
-        for k, g in _grams(_codes(block)[0]).items():
-            out[k] += np.bincount(g, minlength=1 << BITS).astype(np.float32)
-    return out
+        for row, (_, g) in zip(cells, sorted(_grams(_codes(block)[0]).items())):
+            row += np.bincount(g, minlength=1 << BITS).astype(np.float32)
+
+
+def _seeded(notices: list[str]) -> np.ndarray:
+    """Counts per kind, order and cell of the public seeds and of ``notices``."""
+    cells = np.zeros((3, len(ORDERS), 1 << BITS), dtype=np.float32)
+    filler, public = public_seeds()
+    _add(cells[FILLED], [plain(t) for t in filler])
+    _add(cells[NOTICE], [plain(t) for t in [*public, *notices]])
+    return cells
 
 
 def _backed_off(table: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> np.ndarray:
@@ -132,80 +144,116 @@ def _backed_off(table: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> n
 class ResidueModel:
     """Log-likelihood ratios of filler and of notices against prose, by hashed n-gram.
 
-    A residue model is smoothed towards prose, so that what neither seed nor notice says always speaks for prose.
+    A residue model is smoothed towards prose, so that what no residue says always speaks for prose.
     """
 
-    def __init__(self, filler: list[str], notices: list[str], prose: list[str]):
-        base = _counts(prose)
+    def __init__(self, cells: np.ndarray):
+        """cells: counts per kind (prose, filler, notice), order and hashed n-gram."""
         self.tables = []
-        for texts in (filler, notices):
-            own, total = _counts(texts), {}
-            for k in ORDERS:
-                a, b = own[k] / max(1, own[k].sum()), np.maximum(base[k], 0.5) / max(100_000, base[k].sum())
-                unseen = (own[k] == 0) & (base[k] == 0)
-                total[k] = np.where(unseen, np.nan, np.clip(np.log((a + SMOOTH * b) / ((1 + SMOOTH) * b)), -6, 6)).astype(np.float16)
-            self.tables.append(total)
-
-    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code points, starts and, for each character, the windowed mean ratio of the better residue model."""
+        for own in (cells[FILLED], cells[NOTICE]):
+            table = {}
+            for k, mine, base in zip(ORDERS, own, cells[PROSE]):
+                a, b = mine / max(1, mine.sum()), np.maximum(base, 0.5) / max(100_000, base.sum())
+                ratio = np.clip(np.log((a + SMOOTH * b) / ((1 + SMOOTH) * b)), -6, 6)
+                table[k] = np.where((mine == 0) & (base == 0), np.nan, ratio).astype(np.float16)
+            self.tables.append(table)
+
+    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Share of residue and kind of each of some plain texts."""
         codes, start = _codes(texts)
-        grams = _grams(codes)
-        n, best = len(codes), None
+        grams, n, best, sums = _grams(codes), len(codes), None, []
         lo = np.maximum(np.arange(n) - WINDOW // 2, np.repeat(start[:-1], np.diff(start)))
         hi = np.minimum(np.arange(n) + WINDOW // 2 + 1, np.repeat(start[1:], np.diff(start)))
         for table in self.tables:
-            score = _backed_off(table, grams)
-            run = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
+            run = np.concatenate([[0.0], np.cumsum(_backed_off(table, grams), dtype=np.float64)])
             mean = ((run[hi] - run[lo]) / (hi - lo)).astype(np.float32)
             best = mean if best is None else np.maximum(best, mean)
-        return codes, start, best
+            sums.append(run[start[1:]] - run[start[:-1]])
+        solid = codes != 32
+        inside = np.add.reduceat(((best > 0) | (codes == 1)) & solid, start[:-1], dtype=np.int64)
+        cover = inside / np.maximum(1, np.add.reduceat(solid, start[:-1], dtype=np.int64))
+        return cover, np.where(cover < COVER, PROSE, np.where(sums[0] >= sums[1], FILLED, NOTICE))
+
+    def scored(self, plain_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._scored(b) for b in _blocks(plain_texts)]
+        none = (np.zeros(0), np.zeros(0, dtype=np.int64))
+        return tuple(np.concatenate([x, *(p[i] for p in parts)]) for i, x in enumerate(none))
 
     def coverage(self, texts: list[str]) -> np.ndarray:
         """Share of each text's characters, blanks aside, that lie in residue."""
-        return np.concatenate([np.zeros(0), *(self._coverage(b) for b in _blocks([plain(t) for t in texts]))])
+        return self.scored([plain(t) for t in texts])[0]
 
-    def _coverage(self, texts: list[str]) -> np.ndarray:
-        codes, start, ratio = self.ratios(texts)
-        solid = codes != 32
-        flagged = ((ratio > 0) | (codes == 1)) & solid
-        sums = lambda x: np.add.reduceat(x.astype(np.int64), start[:-1])
-        return sums(flagged) / np.maximum(1, sums(solid))
+
+def fit(texts: list[str], notices: list[str], rounds: int = ROUNDS) -> ResidueModel:
+    """A model from texts of any kind and from what notices say, in memory."""
+    seeds, known = _seeded(notices), [plain(t) for t in texts]
+    cells = seeds.copy()
+    _add(cells[PROSE], known)
+    for _ in range(rounds):
+        kinds, cells = ResidueModel(cells).scored(known)[1], seeds.copy()
+        for kind in (PROSE, FILLED, NOTICE):
+            _add(cells[kind], [t for t, k in zip(known, kinds) if k == kind])
+    return ResidueModel(cells)
 
 
-def fit(prose_sample: list[str], notice_titles: list[str], rounds: int = 2) -> ResidueModel:
-    """Models from a sample of texts and the titles hosts give to addresses that do not exist."""
-    filler, notices = [plain(t) for t in FILLER], [plain(t) for t in NOTICES + notice_titles]
-    sample = [(plain(t), natural(t)) for t in prose_sample]
-    prose, rest = [t for t, n in sample if n], [t for t, n in sample if not n]
-    model = ResidueModel(filler, notices, prose or ["prose"])
+def _tally(texts: DataFrame, model: ResidueModel | None) -> np.ndarray:
+    """Counts per kind, order and cell of all texts: prose without a model, else what the model takes them for."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # a fixed number of cells
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros((3, len(ORDERS), 1 << BITS), dtype=np.float32)
+        for pdf in batches:
+            known = [plain(t) for t in pdf.text]
+            kinds = np.zeros(len(known), dtype=np.int64) if shared.value is None else shared.value.scored(known)[1]
+            for kind in np.unique(kinds):
+                _add(cells[kind], [t for t, k in zip(known, kinds) if k == kind])
+        flat = cells.ravel()
+        for at in range(0, len(flat), 1 << BITS):
+            hit = np.flatnonzero(flat[at : at + (1 << BITS)]) + at
+            yield pd.DataFrame({"cell": hit.astype(np.int32), "n": flat[hit]})
+
+    sums = texts.select("text").mapInPandas(count, "cell int, n float").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(3 * len(ORDERS) << BITS, dtype=np.float32)
+    cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return cells.reshape(3, len(ORDERS), 1 << BITS)
+
+
+def host_notices(texts: DataFrame, titles: DataFrame, hosts: int = HOSTS, short: int = SHORT) -> DataFrame:
+    """(text) of notices, each once: what pages under a notice's title say, and what ``hosts`` hosts repeat as a whole.
+
+    texts: host, title, text; titles: title.  Only texts of up to ``short`` characters are taken to learn from.
+    """
+    brief = texts.where((F.length("text") <= short) & (F.trim("text") != "")).select("host", "title", "text", text_key(F.col("text")).alias("key"))
+    each = brief.groupBy("key", "host").agg(F.min("text").alias("text"))
+    repeated = each.where("host is not null and host <> ''").groupBy("key").agg(F.count("*").alias("n"), F.min("text").alias("text")).where(F.col("n") >= hosts)
+    named = titles.where("trim(title) <> ''").select(text_key(F.col("title")).alias("named")).distinct()
+    under = brief.join(named, text_key(F.col("title")) == F.col("named"), "left_semi")
+    both = repeated.select("key", "text").unionByName(under.select("key", "text"))
+    return both.groupBy("key").agg(F.min("text").alias("text")).select("text")
+
+
+def fit_on(texts: DataFrame, probe_titles: DataFrame | None = None, rounds: int = ROUNDS) -> ResidueModel:
+    """A model from all texts (host, title, text) and the titles (title) hosts give to made-up addresses.
+
+    Null and blank texts count for nothing.  Without any text the public seeds are all there is.
+    """
+    sound = texts.where("trim(text) <> ''")
+    if probe_titles is None:
+        probe_titles = texts.select("title").limit(0)
+    seeds = _seeded([])
+    titles = probe_titles.where("trim(title) <> ''").select(F.col("title").alias("text")).distinct()
+    seeds[NOTICE] += _tally(titles.unionByName(host_notices(texts, probe_titles)), None)[PROSE]
+    cells = seeds.copy()
+    cells[PROSE] += _tally(sound, None)[PROSE]
     for _ in range(rounds):
-        prose = [t for t, c in zip(prose, model.coverage(prose)) if c < 0.5]
-        odd = [t for t, c in zip(rest, model.coverage(rest)) if c >= 0.7]
-        if not odd:
-            break
-        more: list[list[str]] = [[], []]
-        for block in _blocks(odd):
-            codes, start = _codes(block)
-            grams = _grams(codes)
-            a, b = (np.add.reduceat(_backed_off(t, grams), start[:-1]) for t in model.tables)
-            for text, x, y in zip(block, a, b):
-                more[int(x < y)].append(text)
-        model = ResidueModel(filler + more[0], notices + more[1], prose or ["prose"])
-    return model
-
-
-def fit_on(texts: DataFrame, probe_titles: DataFrame | None = None, sample: int = SAMPLE, titles: int = 2_000) -> ResidueModel:
-    """A model from ``sample`` texts (id, text) and ``titles`` titles (title), both picked by hash, so at random but repeatably."""
-    picked = sampled(texts.where("id is not null and trim(text) <> ''").select("id", "text"), sample, "id", "text").select("text").collect()
-    seeds = [] if probe_titles is None else probe_titles.where("trim(title) <> ''").select("title").distinct().orderBy(F.xxhash64("title")).limit(titles).collect()
-    return fit([r.text for r in picked], [r.title for r in seeds])
+        cells = seeds + _tally(sound, ResidueModel(cells))
+    return ResidueModel(cells)
 
 
 def notice_titles(probes: DataFrame, pages: DataFrame) -> DataFrame:
     """Titles of answers to made-up addresses that no page with a text of some length bears; pages: title, text."""
-    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    real = pages.where(F.size(F.split("text", r"\s+")) >= 60).select(key(F.col("title")).alias("key")).distinct()
-    return probes.where("title is not null").select("title", key(F.col("title")).alias("key")).join(real, "key", "left_anti").select("title")
+    real = pages.where(F.size(F.split("text", r"\s+")) >= 60).select(text_key(F.col("title")).alias("key")).distinct()
+    return probes.where("title is not null").select("title", text_key(F.col("title")).alias("key")).join(real, "key", "left_anti").select("title")
 
 
 def residue_coverage(texts: DataFrame, model: ResidueModel) -> DataFrame:

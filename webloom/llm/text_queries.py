@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.urls import plain_host
 from webloom.llm import languages, residue
 from webloom.llm.records import records
 from webloom.plans.tables import table
@@ -19,7 +20,7 @@ class ResidueFlags:
 
 
 def _model(spark: SparkSession, d: str) -> residue.ResidueModel:
-    raw = table(spark, d, "analysis_rows").select(F.col("url_id").alias("id"), F.col("main_text").alias("text"), "title")
+    raw = table(spark, d, "analysis_rows").select(plain_host(F.col("url")).alias("host"), "title", F.col("main_text").alias("text"))
     return residue.fit_on(raw, residue.notice_titles(table(spark, d, "soft404_probes"), raw))
 
 
