@@ -60,7 +60,7 @@ _SLOT = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,80}?%\}|<%[^\n]{0,80}?%>|\[\[[^\[\]\n]{0,80}\]\]|[$#]\{[^{}\n]{0,80}\}"
     r"|@@[^@\n]{1,60}@@|__[A-Za-z0-9_.]{1,60}__|%[A-Za-z_][\w.]{1,60}%|%\d\$[a-z]|\{\d\}"
 )
-_NUMBERED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+\d\w*+")  # numbers, and codes with a figure in them
+_FIGURE = re.compile(r"\d\w*+")
 
 
 def public_seeds() -> tuple[list[str], list[str]]:
@@ -74,7 +74,14 @@ def plain(text: str) -> str:
     """Lower case, numbers and codes as 0, template slots as runs of one sign, blanks single."""
     if "{" in text or "%" in text or "[" in text or "@" in text or "__" in text:
         text = _SLOT.sub(lambda m: "\x01" * max(4, len(m[0])), text)
-    return " ".join(_NUMBERED.sub("0", text.lower()).split())
+    text, out, at = text.lower(), [], 0
+    for m in _FIGURE.finditer(text):
+        begin = m.start()
+        while begin > at and text[begin - 1].isalpha():
+            begin -= 1
+        out.append(text[at:begin])
+        at = m.end()
+    return " ".join("0".join([*out, text[at:]]).split())
 
 
 def text_key(text: Column) -> Column:
@@ -119,8 +126,12 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
 def _add(cells: np.ndarray, texts: list[str]) -> None:
     """Count the n-grams of plain texts into ``cells``, a row per order."""
     for block in _blocks(texts):
-        for row, (_, g) in zip(cells, sorted(_grams(_codes(block)[0]).items())):
-            row += np.bincount(g, minlength=1 << BITS).astype(np.float32)
+        _count(cells, _grams(_codes(block)[0]))
+
+
+def _count(cells: np.ndarray, grams: dict[int, np.ndarray]) -> None:
+    for row, k in zip(cells, ORDERS):
+        row += np.bincount(grams[k], minlength=1 << BITS).astype(np.float32)
 
 
 def _seeded(notices: list[str]) -> np.ndarray:
@@ -132,13 +143,19 @@ def _seeded(notices: list[str]) -> np.ndarray:
     return cells
 
 
+UNSEEN, STEPS = -128, 20  # ratios are kept in twentieths, so that a table fits a core's cache
+
+
 def _backed_off(table: dict[int, np.ndarray], grams: dict[int, np.ndarray]) -> np.ndarray:
     """The ratio of the longest n-gram that either side has seen, 0 for none."""
-    score = np.full(len(next(iter(grams.values()))), np.nan, dtype=np.float32)
-    for k in sorted(grams, reverse=True):
-        left = np.isnan(score)
-        score[left] = table[k][grams[k][left]]
-    return np.nan_to_num(score)
+    longest, *shorter = sorted(grams, reverse=True)
+    score = table[longest][grams[longest]]
+    left = np.flatnonzero(score == UNSEEN)
+    for k in shorter:
+        score[left] = found = table[k][grams[k][left]]
+        left = left[found == UNSEEN]
+    score[left] = 0
+    return score
 
 
 class ResidueModel:
@@ -155,27 +172,34 @@ class ResidueModel:
             for k, mine, base in zip(ORDERS, own, cells[PROSE]):
                 a, b = mine / max(1, mine.sum()), np.maximum(base, 0.5) / max(100_000, base.sum())
                 ratio = np.clip(np.log((a + SMOOTH * b) / ((1 + SMOOTH) * b)), -6, 6)
-                table[k] = np.where((mine == 0) & (base == 0), np.nan, ratio).astype(np.float16)
+                table[k] = np.where((mine == 0) & (base == 0), UNSEEN, np.rint(ratio * STEPS)).astype(np.int8)
             self.tables.append(table)
 
-    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Share of residue and kind of each of some plain texts."""
+    def _scored(self, texts: list[str], cells: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         codes, start = _codes(texts)
-        grams, n, best, sums = _grams(codes), len(codes), None, []
-        lo = np.maximum(np.arange(n) - WINDOW // 2, np.repeat(start[:-1], np.diff(start)))
-        hi = np.minimum(np.arange(n) + WINDOW // 2 + 1, np.repeat(start[1:], np.diff(start)))
+        grams, n, sums, inside = _grams(codes), len(codes), [], codes == 1
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(start))
+        lo = np.maximum(np.arange(n) - WINDOW // 2, start[:-1][owner])
+        hi = np.minimum(np.arange(n) + WINDOW // 2 + 1, start[1:][owner])
         for table in self.tables:
-            run = np.concatenate([[0.0], np.cumsum(_backed_off(table, grams), dtype=np.float64)])
-            mean = ((run[hi] - run[lo]) / (hi - lo)).astype(np.float32)
-            best = mean if best is None else np.maximum(best, mean)
+            run = np.zeros(n + 1, dtype=np.int32)
+            np.cumsum(_backed_off(table, grams), dtype=np.int32, out=run[1:])
+            inside |= run[hi] > run[lo]
             sums.append(run[start[1:]] - run[start[:-1]])
         solid = codes != 32
-        inside = np.add.reduceat(((best > 0) | (codes == 1)) & solid, start[:-1], dtype=np.int64)
-        cover = inside / np.maximum(1, np.add.reduceat(solid, start[:-1], dtype=np.int64))
-        return cover, np.where(cover < COVER, PROSE, np.where(sums[0] >= sums[1], FILLED, NOTICE))
+        inside &= solid
+        cover = np.add.reduceat(inside, start[:-1], dtype=np.int64) / np.maximum(1, np.add.reduceat(solid, start[:-1], dtype=np.int64))
+        kinds = np.where(cover < COVER, PROSE, np.where(sums[0] >= sums[1], FILLED, NOTICE))
+        if cells is not None:
+            of = kinds[owner]
+            for kind in np.unique(kinds):
+                mine = np.flatnonzero(of == kind)
+                _count(cells[kind], {k: g[mine] for k, g in grams.items()})
+        return cover, kinds
 
-    def scored(self, plain_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._scored(b) for b in _blocks(plain_texts)]
+    def scored(self, plain_texts: list[str], cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Share of residue and kind of each of some plain texts; their n-grams are counted into ``cells``, if given."""
+        parts = [self._scored(b, cells) for b in _blocks(plain_texts)]
         none = (np.zeros(0), np.zeros(0, dtype=np.int64))
         return tuple(np.concatenate([x, *(p[i] for p in parts)]) for i, x in enumerate(none))
 
@@ -190,9 +214,8 @@ def fit(texts: list[str], notices: list[str], rounds: int = ROUNDS) -> ResidueMo
     cells = seeds.copy()
     _add(cells[PROSE], known)
     for _ in range(rounds):
-        kinds, cells = ResidueModel(cells).scored(known)[1], seeds.copy()
-        for kind in (PROSE, FILLED, NOTICE):
-            _add(cells[kind], [t for t, k in zip(known, kinds) if k == kind])
+        model, cells = ResidueModel(cells), seeds.copy()
+        model.scored(known, cells)
     return ResidueModel(cells)
 
 
@@ -204,9 +227,10 @@ def _tally(texts: DataFrame, model: ResidueModel | None) -> np.ndarray:
         cells = np.zeros((3, len(ORDERS), 1 << BITS), dtype=np.float32)
         for pdf in batches:
             known = [plain(t) for t in pdf.text]
-            kinds = np.zeros(len(known), dtype=np.int64) if shared.value is None else shared.value.scored(known)[1]
-            for kind in np.unique(kinds):
-                _add(cells[kind], [t for t, k in zip(known, kinds) if k == kind])
+            if shared.value is None:
+                _add(cells[PROSE], known)
+            else:
+                shared.value.scored(known, cells)
         flat = cells.ravel()
         for at in range(0, len(flat), 1 << BITS):
             hit = np.flatnonzero(flat[at : at + (1 << BITS)]) + at
