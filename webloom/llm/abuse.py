@@ -30,7 +30,7 @@ from webloom.llm.mixing import plain_source
 from webloom.llm.records import sampled
 
 CATEGORIES, BITS, LIMIT = ("abuse", "hate", "sexual"), 18, 0.5
-SAMPLE, CALM_SENTENCES = 20_000, 20_000  # documents, and sentences without evidence, that the classifier learns from
+SAMPLE, CALM_SENTENCES = 12_000, 20_000  # documents, and sentences without evidence, that the classifier learns from
 STEPS, SHRINK, FEATURES = 120, 8.0, 30  # rounds of its descent, doubt each weight meets, features that count in full
 
 # Classes of common words.
@@ -100,7 +100,7 @@ _VOWELS = str.maketrans("aeiou", "00000")
 _PLAIN = sorted(w for w in _OF if len(w) > 2)
 _MASKS = {w.translate(_VOWELS): w for w in reversed(_PLAIN)}
 _STARS = {(w[0], w[-1], len(w)): w for w in reversed(_PLAIN)}
-_SPACED, _LONG = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)"), re.compile(r"(\w)\1{2,}")
+_SPACED, _HINT, _LONG = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)"), re.compile(r" \w \w \w(?!\w)"), re.compile(r"(\w)\1{2,}")
 _MARKS = re.compile(r"[\u0300-\u036f\u3099\u309a]+")
 _TOKEN = re.compile(r"[\w@$*](?:[\w@$*]|!(?=\w))*|[.!?…]+(?=\s|$)|\n|[。！？]")  # words and ends of sentences
 _END = frozenset(".!?…\n。！？")
@@ -129,7 +129,8 @@ def tokens(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("’", "")
-    return _TOKEN.findall(_SPACED.sub(_joined, text.replace("'", "")))
+    text = text.replace("'", "")
+    return _TOKEN.findall(_SPACED.sub(_joined, text) if _HINT.search(text) else text)
 
 
 def _hash(word: str) -> int:
@@ -185,22 +186,25 @@ class Batch:
                 out[of[x[ok]], k] = True
         return out
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sentence, column) of hashed words and word pairs, and a scale per sentence; pairs reach over one word too.
 
-        The scale keeps a long sentence from outweighing a short one.
+        ``used`` selects sentences, which are then numbered anew.  The scale keeps a long sentence from outweighing a short one.
         """
-        mask = np.uint64((1 << BITS) - 1)
-        of = np.repeat(np.arange(len(self.owner)), np.diff(self.start))
-        rows, cols = [of], [(self.hashes ^ (self.hashes >> np.uint64(31))) & mask]
+        mask, n, hashes = np.uint64((1 << BITS) - 1), len(self.owner), self.hashes
+        of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
+        if used is not None:
+            kept = used[of]
+            of, hashes, n = (np.cumsum(used, dtype=np.int32) - 1)[of[kept]], hashes[kept], int(used.sum())
+        rows, cols = [of], [((hashes ^ (hashes >> np.uint64(31))) & mask).astype(np.int32)]
         for gap in (1, 2):
             same = of[gap:] == of[:-gap]
-            pair = self.hashes[gap:][same] * np.uint64(0x9E3779B97F4A7C15) ^ (self.hashes[:-gap][same] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap))
+            pair = hashes[gap:][same] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[:-gap][same] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap))
             rows.append(of[gap:][same])
-            cols.append((pair >> np.uint64(20)) & mask)
+            cols.append(((pair >> np.uint64(20)) & mask).astype(np.int32))
         row = np.concatenate(rows)
-        size = np.bincount(row, minlength=len(self.owner))
-        return row, np.concatenate(cols).astype(np.int64), np.sqrt(np.minimum(1.0, FEATURES / np.maximum(1, size)))
+        size = np.bincount(row, minlength=n)
+        return row, np.concatenate(cols), np.sqrt(np.minimum(1.0, FEATURES / np.maximum(1, size)))
 
     def outside(self, labels: list[int], strong: np.ndarray) -> np.ndarray:
         """Per sentence and category, 0 to 5: strong votes in other sentences (+3), reviewers silent (0), for (1) or against (2) it.
@@ -324,47 +328,54 @@ class AbuseModel:
         patterns, times = counted
         if not patterns[:, : len(VOTERS)].any():
             return m
-        row, col, scale = b.features()
+        known = (b.votes[:, _ONES.any(1)].any(1)) | ((outside % 3 == 1) | (outside >= 3)).any(1)
+        calm_ones = np.flatnonzero(~known)
+        used, cost = known.copy(), np.ones(len(known))
+        if len(calm_ones) > calm:
+            cost[calm_ones] = len(calm_ones) / calm
+            calm_ones = np.random.default_rng(5).choice(calm_ones, calm, replace=False)
+        used[calm_ones] = True
+        votes, outside, cost, owner = b.votes[used], outside[used], cost[used], b.owner[used]
+        row, col, scale = b.features(used)
+        del b
+        active, col = np.unique(col, return_inverse=True)
         for k, c in enumerate(CATEGORIES):
             use, speaks = _voters_of(c), np.array([float(VOTERS[j][1] == c) for j in _voters_of(c)])
             mine, n = _distinct(np.hstack([patterns[:, use], patterns[:, [len(VOTERS) + k]]]), times)
             label = m.labels[c] = LabelModel(mine, n, speaks)
-            x = np.hstack([b.votes[:, use], outside[:, [k]]]).astype(np.int64)
-            m.weights[c], m.trust[c] = cls._train(row, col, scale, label.inside(x), label.evidence[x[:, -1]], (x[:, :-1] @ speaks > 0) | (x[:, -1] % 3 == 1) | (x[:, -1] >= 3), calm)
+            x = np.hstack([votes[:, use], outside[:, [k]]]).astype(np.int64)
+            w, m.trust[c] = cls._train(row, col, scale, label.inside(x), label.evidence[x[:, -1]], np.where(x[:, -1] == 1, owner, -1), cost, len(active))
+            m.weights[c][active] = w
         return m
 
     @staticmethod
-    def _train(row: np.ndarray, col: np.ndarray, scale: np.ndarray, prior: np.ndarray, evidence: np.ndarray, matters: np.ndarray, calm: int) -> tuple[np.ndarray, float]:
+    def _train(row: np.ndarray, col: np.ndarray, scale: np.ndarray, prior: np.ndarray, evidence: np.ndarray, together: np.ndarray, cost: np.ndarray, n_columns: int) -> tuple[np.ndarray, float]:
         """Weights of words and pairs, and of the voters' log-odds, that make the outside evidence most likely; Adam over all rows.
 
         The likelihood of a row is s(z) L1 + (1 - s(z)) L0, with z the classifier's log-odds and L1/L0 the ratio of its
-        evidence, so its gradient is the posterior less s(z).  Weights shrink towards zero, that is towards the label model.
+        evidence, so its gradient is the posterior less s(z).  What reviewers alone say of a document's sentences (those
+        ``together``) is that one of them is of the category, not all: there s is the chance of any, by a noisy or.
+        Weights shrink towards zero, that is towards the label model.
         """
-        rng = np.random.default_rng(5)
-        others = np.flatnonzero(~matters)
-        kept = others if len(others) <= calm else np.sort(rng.choice(others, calm, replace=False))
-        cost = np.zeros(len(prior))
-        cost[matters] = 1.0
-        cost[kept] = len(others) / max(1, len(kept))
-        used = cost[row] > 0
-        row, col = row[used], col[used]
-        active, col = np.unique(col, return_inverse=True)
-        rows = np.flatnonzero(cost)
-        row = np.searchsorted(rows, row)
-        prior, evidence, cost, scale = prior[rows], evidence[rows], cost[rows], scale[rows]
-        w, trust, m1, m2 = np.zeros(len(active)), 1.0, np.zeros(len(active) + 1), np.zeros(len(active) + 1)
+        joint = np.flatnonzero(together >= 0)
+        _, group = np.unique(together[joint], return_inverse=True)
+        ratio = np.exp(np.clip(evidence[joint], -10, 10))
+        w, trust, m1, m2 = np.zeros(n_columns), 1.0, np.zeros(n_columns + 1), np.zeros(n_columns + 1)
         s = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         for t in range(1, STEPS + 1):
-            z = trust * prior + scale * np.bincount(row, weights=w[col], minlength=len(rows))
-            d = (s(z + evidence) - s(z)) * cost
-            g = np.append(np.bincount(col, weights=(d * scale)[row], minlength=len(active)) - SHRINK * w, (d * prior).sum() - 50.0 * (trust - 1))
+            z = trust * prior + scale * np.bincount(row, weights=w[col], minlength=len(prior))
+            d = s(z + evidence) - s(z)
+            if len(joint):
+                each = s(z[joint])
+                none = np.exp(np.bincount(group, weights=np.log1p(-np.minimum(each, 1 - 1e-9))))[group]
+                d[joint] = each * none * (ratio - 1) / ((1 - none) * ratio + none)
+            d *= cost
+            g = np.append(np.bincount(col, weights=(d * scale)[row], minlength=n_columns) - SHRINK * w, (d * prior).sum() - 50.0 * (trust - 1))
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-3)
             w += step[:-1]
             trust = float(np.clip(trust + 0.2 * step[-1], 0.3, 1.5))
-        out = np.zeros(1 << BITS, dtype=np.float32)
-        out[active] = w
-        return out, trust
+        return w.astype(np.float32), trust
 
     def odds(self, b: Batch) -> np.ndarray:
         """Log-odds per sentence and category."""
