@@ -102,7 +102,7 @@ _MASKS = {w.translate(_VOWELS): w for w in reversed(_PLAIN)}
 _STARS = {(w[0], w[-1], len(w)): w for w in reversed(_PLAIN)}
 _SPACED, _HINT, _LONG = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)"), re.compile(r" \w \w \w(?!\w)"), re.compile(r"(\w)\1{2,}")
 _MARKS = re.compile(r"[\u0300-\u036f\u3099\u309a]+")
-_TOKEN = re.compile(r"[\w@$*](?:[\w@$*]|!(?=\w))*|[.!?…]+(?=\s|$)|\n|[。！？]")  # words and ends of sentences
+_TOKEN = re.compile(r"[\w@$*]+(?:![\w@$*]+)*|[.!?…]+(?=\s|$)|\n|[。！？]")  # words and ends of sentences
 _END = frozenset(".!?…\n。！？")
 
 
