@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm.leakage import Items, alike, leaked_passages, longest_matches, search_shard, without_leaks, words_of
+from webloom.llm.leakage import Items, alike, leaked_passages, longest_matches, search_shard, suffix_array, without_leaks, words_of
 
 ITEM = "The keeper of Caltaldru wrote that handle and drawer were traded at 433 to 8 beside the Mirnibpal gate while Lowfencal slept"
 
@@ -31,10 +33,36 @@ def test_many_copies_do_not_break_chains():
     assert [(d, i) for d, i, *_ in search_shard(Items([7, *(i for i, _ in KIN)], [ITEM, *(t for _, t in KIN)]), [doc], 15, 0.75)] == [(0, 0)]
 
 
-def test_removal(spark):
-    docs = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id long, text string")
-    leaks = leaked_passages(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string"))
-    assert [r.doc_id for r in without_leaks(docs, leaks).collect()] == [2]
+def test_removal_and_places(spark):
+    docs = spark.createDataFrame([(1, "a b c " + ITEM + " d"), (2, "clean"), (2, "clean"), (None, ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM), *KIN], "item_id long, text string")
+    leaks = leaked_passages(docs, items)
+    assert sorted(str(r.doc_id) for r in without_leaks(docs, leaks).collect()) == ["2", "2", "None"]
+    (r,) = leaks.collect()
+    n = len(words_of(ITEM))
+    assert (r.n_words, r.longest, r.doc_at, r.doc_end, r.item_at) == (n, n, 3, 3 + n, 0)
+    with pytest.raises(ValueError):
+        leaked_passages(docs, items, most_words=20)
+
+
+def test_suffix_array_against_sorting():
+    rng = random.Random(4)
+    for top in (2, 3, 1 << 40):
+        ids = [rng.choice([0, 1, 2, top]) if rng.random() < 0.9 else 1 for _ in range(400)] + [1] * 50 + [0]
+        begin = [k for k, x in enumerate(ids) if x]
+
+        def rest(k):
+            return ids[k : ids.index(0, k)]
+
+        got = suffix_array(np.array(ids, dtype=np.int64), np.array(begin))
+        assert sorted(got.tolist()) == begin and [rest(k) for k in got] == sorted(map(rest, begin))
+
+
+def test_telling_matches_are_those_with_a_rare_word():
+    items = Items([7, *(i for i, _ in KIN)] * 20, [ITEM, *(t for _, t in KIN)] * 20)
+    ids = np.array([items.number.get(w, 0) for w in words_of("wrote that handle and drawer were traded at x keeper of caltaldru wrote")], dtype=np.int64)
+    every = longest_matches(items, ids)[2]
+    assert len(every) > 0 and len(longest_matches(items, ids, telling=True)[2]) == 0  # all words are common to twenty items
 
 
 def test_longest_matches_against_brute_force():
@@ -42,8 +70,6 @@ def test_longest_matches_against_brute_force():
     items = Items([1, 2], [" ".join(rng.choice("abcd") for _ in range(30)) for _ in range(2)])
     words = [rng.choice("abcdx") for _ in range(200)]
     ids = [items.number.get(w, 0) for w in words]
-    import numpy as np
-
     p, q, n = longest_matches(items, np.array(ids))
     flat = items.flat.tolist()
     want = set()

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import abuse
-from webloom.llm.leakage import leaked_passages
+from webloom.llm.leakage import leaked_passages, without_leaks
 from webloom.llm.mixing import mix_sources, token_counts
 from webloom.plans.tables import table
 
@@ -19,6 +19,18 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("most_words"), F.max("longest").alias("longest"))
 
 
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold no passage of any item."""
+    docs = table(spark, d, "documents")
+    return without_leaks(docs, leaked_passages(docs, table(spark, d, "eval_items"))).select("doc_id", "source")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Where each leaked passage lies in its document and its item, in words."""
+    leaks = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.withColumn("share", F.round("share", 4))
+
+
 def _weighed(spark: SparkSession, d: str) -> DataFrame:
     """Documents with tokens and a quality weight: distinct words over words, at least 0.05."""
     words = F.split(F.lower("text"), r"\s+")
@@ -57,5 +69,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(p10_scores(spark, d))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates, "p10_scores": p10_scores}
+QUERIES = {"p8_clean": p8_clean, "p8_found": p8_found, "p8_items": p8_items, "p8_passages": p8_passages, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates, "p10_scores": p10_scores}
 SQL: dict[str, str] = {}
