@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from webloom.llm.mixing import mix_sources, token_counts
@@ -29,6 +31,27 @@ def test_heavier_records_come_first(spark):
     assert len(copies) == 300 and heavy > 250
 
 
+def test_size_or_shares(spark):
+    docs = [(i, "big", 10, 1.0) for i in range(400)] + [(1000 + i, "tiny", 10, 1.0) for i in range(4)]
+    targets = [("m", "big", 0.5, None), ("m", "tiny", 0.5, 2)]
+    _, shares = run(spark, docs, targets)
+    assert shares["m", "tiny"].tokens == 80 and shares["m", "big"].tokens == 80 and shares["m", "big"].full_tokens == 2020
+    _, size = run(spark, docs, targets, keep_shares=False)
+    assert size["m", "tiny"].tokens == 80 and abs(size["m", "big"].tokens - 2020) <= 10 and size["m", "tiny"].actual_share < 0.05
+
+
+def test_no_range_is_hot_whatever_the_weights(spark):
+    """Ranges by the logarithm of the key: the fullest holds little more than its part, with all weights near zero too."""
+
+
+
+    for weight in (1e-6, 0.05, 1.0):
+        key = -F.log((F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 52)) + 0.5) / (1 << 52)) / weight
+        ranges = math.ceil(100_000 / (math.e * 1000))
+        top = spark.range(100_000).groupBy(F.floor(F.log(key) * ranges)).count().agg(F.max("count")).first()[0]
+        assert top < 1300, (weight, top)
+
+
 def test_empty(spark):
     assert run(spark, [], [("m", "s", 1.0, 1)])[0] == {}
     assert run(spark, [(1, "s", 5, 1.0)], []) == ({}, {})

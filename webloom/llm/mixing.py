@@ -4,13 +4,17 @@ Within a source every record has an exponential key scaled by its quality weight
 Spirakis); records in the order of their keys are a weighted sample without replacement.  A source first
 gets complete epochs, then the records whose running token sum, in key order, fits what is left of its
 budget.  The running sum is over key ranges first (one row a range) and over rows only inside the one range
-where the budget ends, so no source is ever sorted in one task.
+where the budget ends, so no source is ever sorted in one task.  Ranges are of equal width on the logarithm of the key:
+a weight only shifts that logarithm, whose density is never above 1/e, so no range holds more than its part of a
+source whatever the weights are.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import math
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,27 +26,33 @@ from webloom.scratch import Scratch
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how this vocabulary cuts text
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE, VOCABULARY = 20_000, 64_000_000
 
 
 @functools.lru_cache(2)
-def _encoding(path: str):
+def _encoding(lines: bytes):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``documents`` with n_tokens in place of text; a null text has none."""
+    """``documents`` with n_tokens in place of text; a null text has none.
+
+    The vocabulary file is read on the driver and sent to all tasks; files above VOCABULARY bytes are refused.
+    """
+    if os.path.getsize(path) > VOCABULARY:
+        raise ValueError(f"{path} is larger than {VOCABULARY} bytes")
+    with open(path, "rb") as file:
+        shared = documents.sparkSession.sparkContext.broadcast(file.read())  # checked above
     keep = [c for c in documents.columns if c not in ("text", "n_tokens")]
     fields = [f for f in documents.schema if f.name in keep]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf.pop("text").fillna("").tolist()
-            pdf["n_tokens"] = [len(x) for x in _encoding(path).encode_ordinary_batch(texts, num_threads=1)]
+            pdf["n_tokens"] = [len(x) for x in _encoding(shared.value).encode_ordinary_batch(texts, num_threads=1)]
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long"
@@ -60,12 +70,13 @@ def source_targets(targets: DataFrame) -> DataFrame:
     return targets.where("mix is not null and source is not null").groupBy("mix", plain_source(F.col("source")).alias("source")).agg(F.sum(F.when(~F.isnan(share), share).otherwise(0.0)).alias("share"), F.min("max_repeats").alias("cap"))
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, keep_shares: bool = True) -> DataFrame:
     """Budget of each source of each mix: mix, source, share (of one), cap, size, n, budget, epochs, rest.
 
-    sizes: source, size, n.  Shares are scaled to one over the sources there are.  Without ``total`` a mix is as
-    large as the corpus, or as large as its caps allow while every share is still reached, if that is less.  With
-    a ``total`` above that, sources at their cap fall short, which the report shows.
+    sizes: source, size, n.  Shares are scaled to one over the sources there are.  A mix is as large as ``total``, or as
+    the corpus.  Where caps don't allow that at the target shares, ``keep_shares`` makes the mix as much smaller as all
+    shares need, which one small capped source can make a lot; without it the size is kept and sources at
+    their cap fall short.  A ``total`` given is never lessened.  The report shows either loss.
     """
     met = source_targets(targets).join(sizes, "source", "left").withColumn("there", F.coalesce(F.col("size") > 0, F.lit(False)) & (F.col("share") > 0) & F.coalesce(F.col("cap") > 0, F.lit(True)))
     by = Window.partitionBy("mix")  # one row a source
@@ -73,18 +84,19 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     corpus = sizes.agg(F.sum("size").alias("corpus"))
     room = F.min(F.when(F.col("there"), F.col("cap") * F.col("size") / F.col("goal"))).over(by)
     met = met.crossJoin(F.broadcast(corpus))  # one row
-    met = met.withColumn("total", F.lit(float(total)) if total else F.least(F.col("corpus").cast("double"), F.coalesce(room, F.col("corpus").cast("double"))))
+    met = met.withColumn("total", F.lit(float(total)) if total else F.least(F.col("corpus").cast("double"), F.coalesce(room, F.col("corpus").cast("double"))) if keep_shares else F.col("corpus").cast("double"))
     want = F.col("goal") * F.col("total")
     met = met.withColumn("budget", F.when(F.col("there"), F.least(want, F.coalesce(F.col("cap") * F.col("size"), want))).otherwise(0.0))
     met = met.withColumn("epochs", F.when(F.col("there"), F.floor(F.col("budget") / F.col("size") + 1e-9)).otherwise(F.lit(0)).cast("int"))
     return met.withColumn("rest", F.when(F.col("there"), F.greatest(F.col("budget") - F.col("epochs") * F.col("size"), F.lit(0.0))).otherwise(0.0))
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, rows_per_range: int = ROWS_PER_RANGE, keep_shares: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, report): how often each record appears in each mix, and the shares reached.
 
     documents: doc_id, source, n_tokens, weight (null or not above 0: 1e-6).  rows: mix, doc_id, source, n_tokens,
-    copies.  report: mix, source, target_share, max_repeats, tokens, actual_share, most_copies.  Records without
+    copies.  report: mix, source, target_share, max_repeats, tokens, actual_share, most_copies, and full_tokens, what the
+    source's share of the whole corpus (or of ``total``) would be.  ``keep_shares``: see ``mix_plan``.  Records without
     tokens never appear; ties of keys go to the smaller doc_id; sources without records are reported with 0.
     """
     scratch = Scratch(documents.sparkSession)
@@ -93,11 +105,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     docs = documents.where("doc_id is not null and source is not null and n_tokens > 0").select("doc_id", plain_source(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"), (-F.log(unit) / weight).alias("key"))
     docs = scratch.cut(docs, "docs")
     sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n"))
-    plan = scratch.cut(mix_plan(sizes, targets, total), "plan")
-    used = plan.where("budget > 0").select("mix", "source", "epochs", "rest", F.ceil(F.col("n") / rows_per_range).alias("ranges"))
-    each = docs.join(used, "source")
-    spread = 1 - F.exp(-F.col("key"))  # keys of weight one fill (0, 1) evenly
-    each = each.withColumn("range", F.least(F.floor(spread * F.col("ranges")), F.col("ranges") - 1).cast("long"))
+    plan = scratch.cut(mix_plan(sizes, targets, total, keep_shares), "plan")
+    used = plan.where("budget > 0").select("mix", "source", "epochs", "rest", F.greatest(F.ceil(F.col("n") / (math.e * rows_per_range)), F.lit(1)).alias("ranges"))
+    each = docs.join(used, "source").withColumn("range", F.floor(F.log("key") * F.col("ranges")))
     parts = each.groupBy("mix", "source", "range").agg(F.sum("n_tokens").alias("in_range"))
     before = F.sum("in_range").over(Window.partitionBy("mix", "source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     parts = scratch.cut(parts.withColumn("before", F.coalesce(before, F.lit(0))), "ranges")
@@ -110,7 +120,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     rows = whole.unionByName(edge).select("mix", "doc_id", "source", "n_tokens", (F.col("epochs") + F.col("extra")).alias("copies")).where("copies > 0")
     rows = scratch.cut(rows, "rows")
     done = rows.groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    report = plan.select("mix", "source", F.col("goal").alias("target_share"), F.col("cap").alias("max_repeats")).join(done, ["mix", "source"], "left")
+    report = plan.select("mix", "source", F.col("goal").alias("target_share"), F.col("cap").alias("max_repeats"), F.round(F.col("goal") * (F.lit(float(total)) if total else F.col("corpus"))).cast("long").alias("full_tokens")).join(done, ["mix", "source"], "left")
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
     share = F.coalesce(F.try_divide(tokens.cast("double"), F.sum(tokens).over(Window.partitionBy("mix"))), F.lit(0.0))
-    return rows, report.select("mix", "source", "target_share", "max_repeats", tokens.alias("tokens"), share.alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    return rows, report.select("mix", "source", "target_share", "max_repeats", tokens.alias("tokens"), share.alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "full_tokens")
