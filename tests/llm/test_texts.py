@@ -78,7 +78,15 @@ def test_wrong_labels_are_left_out(spark):
     total, lines, _ = languages.fit(wrong).label([PROSE[2]])[0]
     assert lines == [(1, 0)]
     rows = [(i, t, k) for k, ts in wrong.items() for i, t in enumerate(ts)] + [(9, None, "fr"), (9, "x", None)]
-    assert languages.fit_on(spark.createDataFrame(rows, "id long, text string, code string")).languages == ["de", "en", "fr", "ja"]
+    labelled = spark.createDataFrame(rows, "id long, text string, code string")
+    assert languages.fit_on(labelled).languages == ["de", "en", "fr", "ja"]
+    assert languages.fit_on(labelled, most=2).languages == ["en", "fr"]  # the most frequent ones
+
+
+def test_short_foreign_lines(spark):
+    m = languages.fit(LANGS)
+    df = spark.createDataFrame([(1, PROSE[0] + "\nund nicht\nTalmo\n" + PROSE[1])], "id long, text string")
+    assert [(r.line_no, r.lang) for r in languages.languages_of(df, m).collect()] in ([(0, "en"), (2, "de")], [(0, "en")])
 
 
 def test_code_of(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK, LETTERS = 300, 64, 9.0, 4.0, 7.0, 256, 9
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK = 300, 184, 9.0, 4.0, 7.0, 256
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -131,8 +131,7 @@ class LanguageModel:
         others = scores[ids].copy()
         others[np.arange(len(ids)), path] = -np.inf
         margin = float((mine - others.max(1)).mean()) if k > 1 else FLOOR
-        top = int(total.argmax())  # a line of a name or two tells no language of its own
-        return total, [(int(n), int(by_line[n].argmax()) if by_line[n].sum() >= LETTERS else top) for n in numbers], margin
+        return total, [(int(n), int(by_line[n].argmax())) for n in numbers], margin
 
 
 def fit(texts: dict[str, list[str]]) -> LanguageModel:
@@ -151,13 +150,18 @@ def code_of(label: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2}$") & ~code.isin("xx", "zz"), code)
 
 
-def fit_on(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """A model from ``per_language`` texts, picked by hash, of each of the MOST_LANGUAGES most frequent codes; labelled: id, text, code."""
+def fit_on(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> LanguageModel:
+    """A model from ``per_language`` texts, picked by hash, of each of the ``most`` most frequent codes; labelled: id, text, code.
+
+    There are 184 two-letter codes of languages, so by default no language is left out but for codes that are none.
+    """
     sound = labelled.where("code is not null and trim(text) <> ''")
+    frequent = sound.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(most).select("code")
+    sound = sound.join(F.broadcast(frequent), "code", "left_semi")  # ``most`` rows
     pick = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("id", "text")))
     rows = sound.select("id", "text", "code").withColumn("pick", pick).where(F.col("pick") <= per_language)
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in rows.select("code", "text").limit(per_language * MOST_LANGUAGES).collect():
+    for r in rows.select("code", "text").collect():
         texts[r.code].append(r.text)
     return fit(dict(texts))
 
@@ -166,7 +170,7 @@ def languages_of(texts: DataFrame, model: LanguageModel, skip=None) -> DataFrame
     """(id, line_no, lang, confidence): line_no 0 for the text, and each line in another language than the text's.
 
     A text's language is that of most of its characters; confidence is their share, lessened where words hardly tell
-    languages apart.  Lines of fewer than LETTERS characters count as the text's own.  Texts without letters, null or blank ones have no row, a model without languages gives none; ``skip``, if given, maps a list of texts
+    languages apart.  A line of a name or two tells no language: it costs more to switch twice than its words can gain.  Texts without letters, null or blank ones have no row, a model without languages gives none; ``skip``, if given, maps a list of texts
     to flags of those to leave out.
     """
     if not model.languages:
