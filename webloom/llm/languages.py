@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK = 300, 184, 9.0, 4.0, 7.0, 256
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK, TELLING = 300, 184, 9.0, 4.0, 7.0, 256, 2.0
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -130,8 +130,12 @@ class LanguageModel:
         mine = scores[ids, path]
         others = scores[ids].copy()
         others[np.arange(len(ids)), path] = -np.inf
-        margin = float((mine - others.max(1)).mean()) if k > 1 else FLOOR
-        return total, [(int(n), int(by_line[n].argmax())) for n in numbers], margin
+        lead = mine - others.max(1) if k > 1 else np.full(len(ids), FLOOR)
+        top = int(total.argmax())
+        language = by_line.argmax(1)
+        told = np.bincount(line, weights=np.where(path == language[line], lead, 0.0), minlength=len(by_line))
+        # a name or two in another script fit many languages and tell none
+        return total, [(int(n), int(language[n]) if told[n] >= TELLING else top) for n in numbers], float(lead.mean())
 
 
 def fit(texts: dict[str, list[str]]) -> LanguageModel:
@@ -170,7 +174,7 @@ def languages_of(texts: DataFrame, model: LanguageModel, skip=None) -> DataFrame
     """(id, line_no, lang, confidence): line_no 0 for the text, and each line in another language than the text's.
 
     A text's language is that of most of its characters; confidence is their share, lessened where words hardly tell
-    languages apart.  A line of a name or two tells no language: it costs more to switch twice than its words can gain.  Texts without letters, null or blank ones have no row, a model without languages gives none; ``skip``, if given, maps a list of texts
+    languages apart.  A line counts as foreign if its words tell its language from all others by TELLING, however short it is.  Texts without letters, null or blank ones have no row, a model without languages gives none; ``skip``, if given, maps a list of texts
     to flags of those to leave out.
     """
     if not model.languages:
