@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK, TELLING = 300, 184, 9.0, 4.0, 7.0, 256, 2.0
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SWITCH, LINE_SWITCH, FLOOR, CHUNK, TELLING = 300, 184, 9.0, 4.0, 7.0, 256, 5.0
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -134,7 +134,7 @@ class LanguageModel:
         top = int(total.argmax())
         language = by_line.argmax(1)
         told = np.bincount(line, weights=np.where(path == language[line], lead, 0.0), minlength=len(by_line))
-        # a name or two in another script fit many languages and tell none
+        # an unseen word tells less than TELLING by its spelling, so that a lone name tells no language
         return total, [(int(n), int(language[n]) if told[n] >= TELLING else top) for n in numbers], float(lead.mean())
 
 
