@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions import html, select
+from webloom.functions import html, markup_rules, select
 from webloom.operators import embeddings, runs
 from webloom.sources import http as http_source
 from webloom.sources import sinks
@@ -43,7 +43,7 @@ def test_custom_data(spark):
 
 def test_broken_markup():
     page = '<script type="application/ld+json">{"@context":"https://schema.org","@type":</script><div itemscope></div><p typeof="X"></p><meta content="https://schema.org/A"><!-- http://schema.org/Thing --><script>var x={"@type":1}</script>'
-    assert [x[1] for x in html.broken_items(html.parse(page), page)] == ["BrokenJSON-LD", "BrokenMicrodata", "BrokenRDFa", "BrokenMetaSchema", "BrokenCommentSchema", "BrokenScriptSchema"]
+    assert [x[1] for x in markup_rules.broken(html.parse(page))] == ["BrokenJSON-LD", "BrokenMicrodata", "BrokenRDFa", "BrokenMetaSchema", "BrokenCommentSchema", "BrokenScriptSchema"]
 
 
 def test_embedding_jobs(spark):
