@@ -31,11 +31,26 @@ def test_blocks_equal_brute_force(spark):
     assert similarity.cosine_pairs(df.limit(0), 0.8).count() == 0
 
 
-def test_random_projections_recall(spark):
-    df = spark.createDataFrame(vectors(300, 16, 2, ("a",)), VEC)
+def test_vectors_of_two_lengths_in_a_part_lose_no_pairs(spark):
+    rows = [*vectors(20, 8, 1, ("a",)), *((p, i + 100, v) for p, i, v in vectors(20, 5, 2, ("a",)))]
+    u = unit(rows)
+    want = {(p, i, j) for p, i in u for q, j in u if p == q and i < j and len(u[p, i]) == len(u[p, j]) and u[p, i] @ u[p, j] >= 0.8}
+    df = spark.createDataFrame(rows, VEC)
+    assert {r[:3] for r in similarity.cosine_pairs(df, 0.8).collect()} == want == {r[:3] for r in similarity.ann_pairs(df, 0.8, gap=2).collect()}
+    assert {r.id for r in similarity.nearest_sims(df).collect()} == {i for _, i in u}
+
+
+def test_inverted_file_recall(spark):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(100, 32))
+    rows = [("a", i, [float(x) for x in base[rng.integers(100)] + 0.2 * rng.normal(size=32)]) for i in range(4000)] + [("a", 9000, None), ("b", 1, [1.0] * 32), ("a", 9001, [0.0] * 32)]
+    df = spark.createDataFrame(rows, VEC)
     exact, near = similarity.cosine_pairs(df, 0.9), similarity.ann_pairs(df, 0.9)
-    assert similarity.recall(exact, near).first().recall >= 0.95 and near.join(exact, ["part", "a", "b"], "left_anti").count() == 0
-    assert similarity.recall(exact.limit(0), near).first().recall == 1.0
+    assert similarity.recall(exact, near).first().recall >= 0.99 and near.join(exact, ["part", "a", "b"], "left_anti").count() == 0
+    assert similarity.recall(exact.limit(0), near).first().recall == 1.0 and similarity.ann_pairs(df.limit(0), 0.9).count() == 0
+    assert {r[:3] for r in similarity.ann_pairs(df, 0.9, block=100).collect()} == {r[:3] for r in near.collect()}
+    c = similarity.candidates(df).first()
+    assert c.looked < 0.5 * c.every
 
 
 def test_complete_linkage_of_components_beyond_a_task(spark):

@@ -52,13 +52,16 @@ def hreflang_identity(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("url_id", "norm_url", "hreflang_group", code.alias("resolved_hreflang_code"), F.coalesce(F.lower(F.split_part(code, F.lit("-"), F.lit(1))), F.lit("unknown")).alias("lang_bucket"))
 
 
-def intent_overlap(records: DataFrame, threshold: float = 0.85, duplicate: float = 0.92, linkage: str = "single", mode: str = "suppress", sections: list[str] = (), lang_split: bool = True) -> dict[str, DataFrame]:
-    """Tables pages, pairs and clusters of the records that take part in pairing."""
+def intent_overlap(records: DataFrame, threshold: float = 0.85, duplicate: float = 0.92, linkage: str = "single", mode: str = "suppress", sections: list[str] = (), lang_split: bool = True, ann_min_pages: int = 10_000) -> dict[str, DataFrame]:
+    """Tables pages, pairs and clusters of the records that take part in pairing.
+
+    From ``ann_min_pages`` pages on pairs are found by an inverted file, whose recall is above 0.99 on pages that are alike.
+    """
     if mode == "primary-only":
         records = overlap.primary_only(records)
     scratch = Scratch(records.sparkSession)  # pages and pairs are read several times
     pages = scratch.cut(overlap.prepared(records, lang_split), "pages")
-    pairs = scratch.cut(overlap.overlap_pairs(pages, threshold, mode == "suppress", sections), "pairs")
+    pairs = scratch.cut(overlap.overlap_pairs(pages, threshold, mode == "suppress", sections, approximate=pages.count() >= ann_min_pages), "pairs")
     members = overlap.clusters(pages, pairs, linkage, threshold)
     return {"pages": pages.drop("vector").join(overlap.page_risks(pages, pairs, duplicate), ["part", "id"]), "pairs": pairs, "clusters": overlap.cluster_rows(pages, pairs, members, threshold, sections)}
 

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import netloc_of
 
-WORD = r"[\p{L}\p{N}_]+"
+_WORD = re.compile(r"\w+")
 TITLE_SPLITS = [" | ", " – ", " — ", " - ", "|", "–", "—"]  # fixed value: in order of priority
 NEAR, TEXT_CAP, THIN_WORDS, LOW_WORDS, SHARE = 4, 1500, 88, 50, 0.30
 
 
-def token_hash(token: Column) -> Column:
-    """First eight bytes of the MD5 as a signed long."""
-    return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("long")
-
-
 def simhash64(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, simhash): 64-bit fingerprints of term frequencies; texts without words get 0.
+    """(key, simhash) of each row: 64-bit fingerprints of term frequencies; texts without words get 0.
 
     Each word adds its count to the bits its hash sets and takes it from the others; a bit is set if its sum isn't
-    negative.  Words are counted within the row, so only the 64 sums are ever aggregated.
+    negative.  A batch hashes each of its different words once; nothing is shuffled.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
-    each = docs.select(key, F.explode_outer(words).alias("w"))
-    counted = each.groupBy(key, "w").agg(F.count("w").alias("n")).withColumn("h", token_hash(F.encode("w", "utf-8")))
-    one = F.lit(1).cast("long")
-    sums = [F.sum(F.when(F.expr(f"shiftright(h, {b}) & 1") == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
-    bits = None
-    for b in range(64):
-        bit = F.when(F.col(f"b{b}") >= 0, F.shiftleft(one, b)).otherwise(F.lit(0).cast("long"))
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return counted.groupBy(key).agg(*sums, F.sum("n").alias("words")).select(key, F.when(F.col("words") > 0, bits).otherwise(F.lit(0)).cast("long").alias("simhash"))
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            number: dict[str, int] = defaultdict(itertools.count().__next__)
+            ids: list[int] = []
+            sizes = []
+            for t in pdf.text:
+                words = _WORD.findall(t)
+                sizes.append(len(words))
+                ids.extend(map(number.__getitem__, words))
+            hashes = b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:8] for w in number)
+            bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little").astype(np.int8) * 2 - 1
+            out = np.zeros(len(pdf), dtype=np.int64)
+            at, ends = np.array(ids, dtype=np.int64), np.cumsum(sizes)
+            for lo in range(0, len(pdf), 256):  # so many texts' words as rows of 64 at once
+                hi = min(lo + 256, len(pdf))
+                first = ends[lo] - sizes[lo]
+                some = np.flatnonzero(np.array(sizes[lo:hi])) + lo
+                if len(some):
+                    sums = np.add.reduceat(bits[at[first : ends[hi - 1]]], ends[some] - np.array(sizes)[some] - first, axis=0, dtype=np.int64)
+                    out[some] = np.packbits(sums >= 0, axis=1, bitorder="little").view(np.int64).ravel()
+            yield pd.DataFrame({key: pdf[key], "simhash": out})
+
+    rows = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    return rows.mapInPandas(prints, f"`{key}` {dict(docs.dtypes)[key]}, simhash long")
 
 
 def hamming(a: Column, b: Column) -> Column:

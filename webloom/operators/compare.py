@@ -18,24 +18,25 @@ def _key(url: Column, remap: list[tuple[str, str]]) -> Column:
     return F.regexp_replace(path_of(remapped(url, remap)), "^$", "/")
 
 
-def by_path(pages: DataFrame, remap: list[tuple[str, str]] = ()) -> DataFrame:
-    """One row per path of final_url, the last by fetched_at (ties: greatest address)."""
+def by_path(pages: DataFrame, remap: list[tuple[str, str]] = (), by: list[str] = ()) -> DataFrame:
+    """One row per path of final_url (and of each of ``by``), the last by fetched_at (ties: greatest address)."""
     cols = ["final_url", "requested_url", "sha256", "simhash", *FIELDS, "schema_types"]
-    kept = pages.where("final_url is not null").select(_key(F.col("final_url"), remap).alias("path"), F.struct("fetched_at", *cols).alias("row"))
-    return kept.groupBy("path").agg(F.max("row").alias("row")).select("path", *(f"row.{c}" for c in cols))
+    kept = pages.where("final_url is not null").select(*by, _key(F.col("final_url"), remap).alias("path"), F.struct("fetched_at", *cols).alias("row"))
+    return kept.groupBy(*by, "path").agg(F.max("row").alias("row")).select(*by, "path", *(f"row.{c}" for c in cols))
 
 
-def compare_runs(baseline: DataFrame, candidate: DataFrame, remap: list[tuple[str, str]] = (), near: int = 4) -> DataFrame:
-    """One row per path of either side: presence, content verdict, fields that differ, schema types and moves.
+def compare_runs(baseline: DataFrame, candidate: DataFrame, remap: list[tuple[str, str]] = (), near: int = 4, by: list[str] = ()) -> DataFrame:
+    """One row per path (and of each of ``by``, e.g. session and host) of either side: presence, content verdict, fields that differ, schema types and moves.
 
     Pages: requested_url, final_url, fetched_at, sha256, simhash, title, h1, meta_description, word_count, schema_types.
     A field is null unless it differs on a path both sides have.  A page whose requested path is not its final one is a
     move and adds a row for the old path.
     """
-    a, b = by_path(baseline, remap), by_path(candidate, remap)
-    left, right = (df.select("path", F.lit(True).alias(f"{s}_there"), *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "path")) for df, s in ((a, "a"), (b, "b")))
-    moves = a.where("requested_url <> final_url").select(_key(F.col("requested_url"), remap).alias("from"), F.col("path").alias("to")).where("from <> to").groupBy("from").agg(F.min("to").alias("to"))
-    met = left.join(right, "path", "full_outer").join(moves.select(F.col("from").alias("path"), "to"), "path", "full_outer")
+    keys = [*by, "path"]
+    a, b = by_path(baseline, remap, by), by_path(candidate, remap, by)
+    left, right = (df.select(*keys, F.lit(True).alias(f"{s}_there"), *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in keys)) for df, s in ((a, "a"), (b, "b")))
+    moves = a.where("requested_url <> final_url").select(*by, _key(F.col("requested_url"), remap).alias("from"), F.col("path").alias("to")).where("from <> to").groupBy(*by, "from").agg(F.min("to").alias("to"))
+    met = left.join(right, keys, "full_outer").join(moves.select(*by, F.col("from").alias("path"), "to"), keys, "full_outer")
     on_a, on_b = F.coalesce("a_there", F.lit(False)), F.coalesce("b_there", F.lit(False))
     both = on_a & on_b
     distance = F.when(both, hamming(F.col("a_simhash"), F.col("b_simhash"))).cast("int")
@@ -43,7 +44,7 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame, remap: list[tuple[st
     differs = lambda c: both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     fields = [F.when(differs(c), F.col(f"{s}_{c}")).alias(f"{name}_{c}") for c in [*FIELDS, "schema_types"] for s, name in (("a", "baseline"), ("b", "candidate"))]
     return met.select(
-        "path", F.col("a_final_url").alias("baseline_url"), F.col("b_final_url").alias("candidate_url"), on_a.alias("exists_on_baseline"), on_b.alias("exists_on_candidate"), verdict.alias("content_verdict"),
+        *keys, F.col("a_final_url").alias("baseline_url"), F.col("b_final_url").alias("candidate_url"), on_a.alias("exists_on_baseline"), on_b.alias("exists_on_candidate"), verdict.alias("content_verdict"),
         distance.alias("simhash_distance"), *fields, F.col("to").isNotNull().alias("is_moved_content"), F.col("to").alias("moved_to_path"),
         F.when(F.col("to").isNotNull(), F.concat("path", F.lit(" -> "), "to")).alias("redirect_chain"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from webloom.functions.text import is_thin, word_count
 from webloom.functions.urls import in_section, lang_bucket, path_depth, section_of, time_sequenced, url_relation
 from webloom.operators.ranks import numbered
-from webloom.operators.similarity import cluster_cohesion, complete_linkage, cosine_pairs, single_linkage, usable
+from webloom.operators.similarity import ann_pairs, cluster_cohesion, complete_linkage, cosine_pairs, single_linkage, usable
 from webloom.scratch import Scratch
 
 # Labels of the reports.
@@ -21,13 +21,14 @@ THIN = "thin content — add distinguishing content"
 
 
 def prepared(records: DataFrame, lang_split: bool = True, thin_words: int = 88) -> DataFrame:
-    """Records of a usable vector with part (run and language), thin flag and the names used here.
+    """Records of a usable vector with part (run, language and, if there, embedding_model), thin flag and the names used here.
 
     records: run_id, url_id, url, vector, hreflang_group, hreflang_code, word_count, signal_confidence,
-    signature_model_input.
+    signature_model_input and, if vectors of several models may occur, embedding_model.
     """
     lang = lang_bucket(F.col("hreflang_code")) if lang_split else F.lit("all")
-    part = F.concat_ws("/", "run_id", lang)
+    model = [F.coalesce("embedding_model", F.lit(""))] if "embedding_model" in records.columns else []
+    part = F.concat_ws("/", "run_id", lang, *model)
     return records.where(usable(F.col("vector"))).select(
         part.alias("part"), "run_id", F.col("url_id").alias("id"), "url", "vector", "hreflang_group", "hreflang_code", F.coalesce("word_count", F.lit(0)).alias("words"), "signal_confidence",
         is_thin(F.col("signature_model_input"), thin_words).alias("thin"), word_count(F.col("signature_model_input")).alias("signature_words"),
@@ -41,11 +42,11 @@ def primary_only(records: DataFrame, primary: str = "en") -> DataFrame:
     return grouped.unionByName(records.where("hreflang_group is null"))
 
 
-def overlap_pairs(pages: DataFrame, least: float = 0.85, suppress: bool = True, sections: list[str] = ()) -> DataFrame:
+def overlap_pairs(pages: DataFrame, least: float = 0.85, suppress: bool = True, sections: list[str] = (), approximate: bool = False) -> DataFrame:
     """Pairs of similar pages of a part: relation of addresses, thinness, confidence and class.  pages: ``prepared``."""
     attributes = ["url", "hreflang_group", "signal_confidence", "thin"]
     ends = {s: pages.select("part", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in attributes)) for s in "ab"}
-    met = cosine_pairs(pages, least).join(ends["a"], ["part", "a"]).join(ends["b"], ["part", "b"])
+    met = (ann_pairs if approximate else cosine_pairs)(pages, least).join(ends["a"], ["part", "a"]).join(ends["b"], ["part", "b"])
     if suppress:
         met = met.where(~F.coalesce(F.col("hreflang_group_a") == F.col("hreflang_group_b"), F.lit(False)))
     thin = F.when(F.col("thin_a") & F.col("thin_b"), "both").when(F.col("thin_a") | F.col("thin_b"), "asymmetric").otherwise("")

@@ -2,11 +2,15 @@
 
 The exact join cuts a part into blocks by the hash of the id; every pair of blocks is one group of
 a bounded size whose products are one matrix multiplication.  Work is quadratic by nature; for large
-parts use the approximate join, whose recall can be measured against the exact one.
+parts use the approximate join, whose recall can be measured against the exact one: an inverted file of coarse
+centroids, in which only rows of a list and those whose nearest centroid is hardly nearer meet.
+Vectors of different lengths have no cosine and never meet: the length is part of every key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +20,8 @@ from pyspark.sql.window import Window
 from webloom.operators.components import connected_components
 from webloom.scratch import Scratch
 
-BLOCK, GRID_LOW, SAMPLE_CAP, IN_TASK = 1024, 0.80, 50, 2_000
+BLOCK, GRID_LOW, IN_TASK = 1024, 0.80, 2_000
+SAMPLE, ROWS_PER_LIST, MOST_LISTS, GAP = 20_000, 512, 4096, 0.2  # of the inverted file
 
 
 def unit_rows(rows: DataFrame, vector: str = "vector") -> DataFrame:
@@ -36,17 +41,18 @@ def usable(v: Column) -> Column:
 
 
 def _blocks(units: DataFrame, block: int) -> DataFrame:
-    """Each row once for every other block of its part: part, lo, hi, mine (its own block), id, vec."""
-    sizes = units.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = units.join(sizes, "part").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """Each row once for every other block of its part and length: part, dim, lo, hi, mine (its own block), id, vec."""
+    units = units.withColumn("dim", F.size("vec"))
+    sizes = units.groupBy("part", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = units.join(sizes, ["part", "dim"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select("part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "vec")
+    return placed.withColumn("other", other).select("part", "dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "vec")
 
 
 def _products(key: tuple, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, lo, hi = key
+    lo, hi = key[-2:]
     a, b = pdf[pdf.mine == lo], pdf[pdf.mine == hi]
-    if not len(a) or not len(b) or len({len(v) for v in pdf.vec}) > 1:
+    if not len(a) or not len(b):
         return np.zeros((0, 0)), a.id.to_numpy(), b.id.to_numpy()
     return np.stack(a.vec.to_list()) @ np.stack(b.vec.to_list()).T, a.id.to_numpy(), b.id.to_numpy()
 
@@ -63,11 +69,11 @@ def cosine_pairs(rows: DataFrame, least: float, block: int = BLOCK, vector: str
             return pd.DataFrame({"part": [], "a": [], "b": [], "sim": []}).astype({"part": str})
         i, j = np.nonzero(sims >= least)
         one, two = a[i], b[j]
-        keep = one < two if key[1] == key[2] else one != two
+        keep = one < two if key[-2] == key[-1] else one != two
         one, two, s = one[keep], two[keep], sims[i, j][keep]
         return pd.DataFrame({"part": key[0], "a": np.minimum(one, two), "b": np.maximum(one, two), "sim": s})
 
-    return _blocks(unit_rows(rows, vector), block).groupBy("part", "lo", "hi").applyInPandas(pairs, "part string, a long, b long, sim double")
+    return _blocks(unit_rows(rows, vector), block).groupBy("part", "dim", "lo", "hi").applyInPandas(pairs, "part string, a long, b long, sim double")
 
 
 def nearest_sims(rows: DataFrame, block: int = BLOCK, vector: str = "vector") -> DataFrame:
@@ -77,29 +83,98 @@ def nearest_sims(rows: DataFrame, block: int = BLOCK, vector: str = "vector") ->
         sims, a, b = _products(key, pdf)
         if not sims.size:
             return pd.DataFrame({"part": [], "id": [], "nn": []}).astype({"part": str})
-        if key[1] == key[2]:
+        if key[-2] == key[-1]:
             np.fill_diagonal(sims, -np.inf)
         out = [pd.DataFrame({"part": key[0], "id": a, "nn": sims.max(1)}), pd.DataFrame({"part": key[0], "id": b, "nn": sims.max(0)})]
         out = pd.concat(out)
         return out[np.isfinite(out.nn)]
 
-    found = _blocks(unit_rows(rows, vector), block).groupBy("part", "lo", "hi").applyInPandas(best, "part string, id long, nn double")
+    found = _blocks(unit_rows(rows, vector), block).groupBy("part", "dim", "lo", "hi").applyInPandas(best, "part string, id long, nn double")
     return found.groupBy("part", "id").agg(F.max("nn").alias("nn"))
 
 
-def ann_pairs(rows: DataFrame, least: float, tables: int = 12, width: float = 1.2, seed: int = 1, vector: str = "vector") -> DataFrame:
-    """(part, a, b, sim) like ``cosine_pairs``, found by random projections and checked exactly; some are missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def coarse_centres(sample: np.ndarray, lists: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
+    """Spherical k-means: unit centres of unit rows."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
+    for _ in range(rounds):
+        at = (sample @ centres.T).argmax(1)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
+        sums = np.add.reduceat(sample[order], first, axis=0)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres[at[order][first]] = sums / np.where(size > 0, size, 1)
+    return centres
+
+
+def listed(rows: DataFrame, gap: float = GAP, sample: int = SAMPLE, most_lists: int = MOST_LISTS, vector: str = "vector") -> DataFrame:
+    """(part, dim, list, home, id, vec): each row in the list of its nearest centre (home) and in all whose centre is within ``gap``.
+
+    Centres are fitted per length on ``sample`` rows picked by hash; there is one for every ROWS_PER_LIST rows, ``most_lists`` at most.
+    """
+    units = unit_rows(rows, vector).withColumn("dim", F.size("vec"))
+    counts = {r.dim: r.n for r in units.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length
+    index = {}
+    for dim, n in counts.items():
+        share = F.pmod(F.xxhash64("part", "id"), F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / n) * (1 << 30))
+        index[dim] = coarse_centres(np.stack([r.vec for r in units.where((F.col("dim") == dim) & (share | F.lit(n <= sample))).select("vec").limit(sample).collect()]), max(1, min(most_lists, n // ROWS_PER_LIST)))
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # most_lists centres a length
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim", sort=False):
+                near = np.stack(part.vec.to_list()) @ shared.value[dim].T
+                row, at = np.nonzero(near >= near.max(1, keepdims=True) - gap)
+                out = part.iloc[row].reset_index(drop=True)
+                out["list"], out["home"] = at.astype(np.int32), near.argmax(1)[row] == at
+                yield out[["part", "dim", "list", "home", "id", "vec"]]
+
+    return units.select("part", "dim", "id", "vec").mapInPandas(place, "part string, dim int, list int, home boolean, id long, vec array<double>")
+
+
+def ann_pairs(rows: DataFrame, least: float, gap: float = GAP, block: int = 4096, sample: int = SAMPLE, vector: str = "vector") -> DataFrame:
+    """(part, a, b, sim) like ``cosine_pairs``, by an inverted file and exact cosines within lists; some are missed.
+
+    A larger ``gap`` asks more lists and misses less; with 2 nothing is missed.  A list longer than ``block`` is cut into blocks of
+    members and of askers, so that a dense list spreads over many tasks.
+    """
 
-    units = unit_rows(rows, vector).withColumn("features", array_to_vector("vec"))
-    if not units.limit(1).count():
-        return units.select("part", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed).fit(units)
-    near = model.approxSimilarityJoin(units, units, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9, "d")
-    ok = near.where("datasetA.part = datasetB.part and datasetA.id < datasetB.id")
-    dot = F.aggregate(F.zip_with("datasetA.vec", "datasetB.vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return ok.select(F.col("datasetA.part").alias("part"), F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), dot.alias("sim")).where(F.col("sim") >= least).distinct()
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, q = pdf[pdf.member], pdf[pdf.asks]
+        if not len(m) or not len(q):
+            return pd.DataFrame({"part": [], "a": [], "b": [], "sim": []}).astype({"part": str})
+        members, ids, out = np.stack(m.vec.to_list()), m.id.to_numpy(), []
+        for at in range(0, len(q), 1024):
+            some = q.iloc[at : at + 1024]
+            sims = np.stack(some.vec.to_list()) @ members.T
+            i, j = np.nonzero(sims >= least)
+            out.append((some.id.to_numpy()[i], ids[j], sims[i, j]))
+        a, b, s = (np.concatenate(x) for x in zip(*out))
+        keep = a != b
+        return pd.DataFrame({"part": key[0], "a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[keep]})
+
+    placed = Scratch(rows.sparkSession).cut(listed(rows, gap, sample, vector=vector), "listed")
+    sizes = placed.groupBy("part", "dim", "list").agg(F.count_if("home").alias("members"), F.count("*").alias("asking")).where("members > 0")
+    sizes = sizes.select("part", "dim", "list", F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("asking") / block).cast("int").alias("qb"))
+    met = placed.join(sizes, ["part", "dim", "list"])
+    mine = {c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(f"{c}b")).cast("int") for c in "mq"}
+    # a member goes to every block of askers, an asker to every block of members
+    cells = F.flatten(F.array(
+        F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda k: F.struct(mine["m"].alias("m"), k.alias("q"), F.lit(True).alias("member"), (k == mine["q"]).alias("asks")))).otherwise(F.array()),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("mb") - 1), lambda k: ~F.col("home") | (k != mine["m"])), lambda k: F.struct(k.alias("m"), mine["q"].alias("q"), F.lit(False).alias("member"), F.lit(True).alias("asks"))),
+    ))
+    each = met.select("part", "dim", "list", "id", "vec", F.explode(cells).alias("c")).select("part", "dim", "list", "c.*", "id", "vec")
+    found = each.groupBy("part", "dim", "list", "m", "q").applyInPandas(pairs, "part string, a long, b long, sim double")
+    return found.groupBy("part", "a", "b").agg(F.max("sim").alias("sim"))
+
+
+def candidates(rows: DataFrame, gap: float = GAP, vector: str = "vector") -> DataFrame:
+    """One row: pairs of a row and a list's member that ``ann_pairs`` looks at, and all pairs of a part."""
+    placed = listed(rows, gap, vector=vector)
+    per = placed.groupBy("part", "dim", "list").agg(F.count_if("home").alias("m"), F.count("*").alias("q"))
+    every = placed.where("home").groupBy("part", "dim").agg(F.count("*").alias("n"))
+    looked = per.agg(F.sum(F.col("m") * F.col("q")).alias("looked"))
+    return looked.crossJoin(every.agg(F.sum(F.col("n") * F.col("n")).alias("every")))  # one row each
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -229,10 +304,10 @@ def cluster_cohesion(clusters: DataFrame, rows: DataFrame, block: int = BLOCK, v
 
     def stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sims, a, b = _products(key, pdf)
-        use = sims[np.triu_indices(len(a), 1)] if key[1] == key[2] else sims.ravel()
+        use = sims[np.triu_indices(len(a), 1)] if key[-2] == key[-1] else sims.ravel()
         return pd.DataFrame([(key[0], float(use.min()), float(use.sum()), len(use))] if use.size else [], columns=["part", "low", "total", "n"])
 
-    found = _blocks(unit_rows(inside), block).groupBy("part", "lo", "hi").applyInPandas(stats, "part string, low double, total double, n long")
+    found = _blocks(unit_rows(inside), block).groupBy("part", "dim", "lo", "hi").applyInPandas(stats, "part string, low double, total double, n long")
     sums = found.groupBy("part").agg(F.min("low").alias("min_sim"), (F.sum("total") / F.sum("n")).alias("mean_sim"))
     sizes = clusters.groupBy("part", "cluster").agg(F.count("*").alias("size"))
     cohesion = F.when(F.col("mean_sim") > 0, F.col("min_sim") / F.col("mean_sim")).otherwise(0.0)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from webloom.functions.urls import netloc_of, plain_path
+from webloom.functions.urls import plain_host, plain_path
 from webloom.operators import compare, overlap, reports, similarity, views
 from webloom.plans import url_queries as u
 from webloom.plans.tables import table
@@ -33,10 +34,21 @@ def sim_nearest(spark, d):
     return similarity.nearest_sims(_vectors(spark, d)).select("id", F.round("nn", 6).alias("nn"))
 
 
+def _page_vectors(spark, d):
+    recs = u.records(spark, d, "embedding", "embedding_model")
+    return recs.select(F.coalesce("embedding_model", F.lit("")).alias("part"), F.col("url_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def sim_ann_pairs(spark, d):
+    """Pages whose vectors of one model have a cosine of 0.9 or more, by the inverted file."""
+    return similarity.ann_pairs(_page_vectors(spark, d), 0.9).select("part", "a", "b", F.round("sim", 4).alias("sim"))
+
+
 def sim_ann_recall(spark, d):
-    """Recall of random projections against the exact join."""
-    v = _vectors(spark, d)
-    return similarity.recall(similarity.cosine_pairs(v, 0.4), similarity.ann_pairs(v, 0.4)).select((F.col("recall") >= 0.9).alias("enough"))
+    """Recall of the inverted file against the exact join, and which share of all pairs it looks at."""
+    v = Scratch(spark).cut(_page_vectors(spark, d), "vectors")
+    share = similarity.candidates(v).select(F.round(F.col("looked") / F.col("every"), 4).alias("looked_at"))
+    return similarity.recall(similarity.cosine_pairs(v, 0.9), similarity.ann_pairs(v, 0.9)).select(F.round("recall", 4).alias("recall")).crossJoin(share)  # one row each
 
 
 def sim_distribution(spark, d):
@@ -80,7 +92,7 @@ def projection(spark, d):
 
 def _prepared(spark, d):
     recs = u.records(spark, d, "url", "embedding", "embedding_model", "hreflang_group", "hreflang_code", "word_count", "signal_confidence", "signature_model_input", "status", "kind")
-    recs = recs.where("status = 200 and kind = 'html' and url is not null and embedding_model = 'sigvec-base-64'")
+    recs = recs.where("status = 200 and kind = 'html' and url is not null")
     return overlap.prepared(recs.withColumnRenamed("embedding", "vector"))
 
 
@@ -112,16 +124,25 @@ def overlap_summary(spark, d):
     return overlap.page_risks(*_overlap(spark, d)).groupBy("risk").agg(F.count("*").alias("n"))
 
 
-def _snapshot(spark, d, run):
-    rows = table(spark, d, "page_run_snapshots").where(F.col("run_id") == run)
-    path = plain_path(F.col("url"))
-    plain = F.concat(F.lit("https://"), netloc_of(F.col("url")), path)
-    return rows.select(plain.alias("requested_url"), plain.alias("final_url"), "fetched_at", F.col("content_hash_sha256").alias("sha256"), F.col("content_hash_simhash").alias("simhash"), "title", F.split_part("h1_tags", F.lit("\n"), F.lit(1)).alias("h1"), "meta_description", "word_count", F.lit(None).cast("array<string>").alias("schema_types"))
+def _sessions(spark, d):
+    """(baseline, candidate, session_id) of each two consecutive snapshots; one row a snapshot."""
+    runs = table(spark, d, "page_run_snapshots").select("run_id").distinct()
+    after = runs.select(F.col("run_id").alias("baseline"), F.lead("run_id").over(Window.orderBy("run_id")).alias("candidate")).where("candidate is not null")
+    return after.withColumn("session_id", F.concat(F.lit("cmp-"), F.regexp_replace("baseline", "^snap-", ""), F.lit("-"), F.regexp_replace("candidate", "^snap-", "")))
+
+
+def _snapshots(spark, d, side):
+    """Pages of all snapshots with the session in which theirs is the ``side``."""
+    rows = table(spark, d, "page_run_snapshots").join(F.broadcast(_sessions(spark, d)), F.col("run_id") == F.col(side))
+    path, host = plain_path(F.col("url")), plain_host(F.col("url"))
+    plain = F.concat(F.lit("https://"), host, path)
+    return rows.select("session_id", host.alias("host"), plain.alias("requested_url"), plain.alias("final_url"), "fetched_at", F.col("content_hash_sha256").alias("sha256"), F.col("content_hash_simhash").alias("simhash"), "title", F.split_part("h1_tags", F.lit("\n"), F.lit(1)).alias("h1"), "meta_description", "word_count", F.lit(None).cast("array<string>").alias("schema_types"))
 
 
 def compare_runs(spark, d):
-    out = compare.compare_runs(_snapshot(spark, d, "snap-w07"), _snapshot(spark, d, "snap-w08"))
-    return out.select("path", "exists_on_baseline", "exists_on_candidate", "content_verdict", "simhash_distance", "baseline_title", "candidate_title", "baseline_h1", "candidate_h1", "baseline_word_count", "candidate_word_count", "is_moved_content")
+    """Each two consecutive snapshots, page by page."""
+    out = compare.compare_runs(_snapshots(spark, d, "baseline"), _snapshots(spark, d, "candidate"), by=["session_id", "host"])
+    return out.select("session_id", "host", "path", "exists_on_baseline", "exists_on_candidate", "content_verdict", "simhash_distance", "baseline_title", "candidate_title", "baseline_h1", "candidate_h1", "baseline_word_count", "candidate_word_count", "is_moved_content")
 
 
 def view_url_moves(spark, d):
@@ -211,7 +232,7 @@ def site_structure(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        sim_pairs, sim_pairs_by_label, sim_nearest, sim_ann_recall, sim_distribution, sim_percentile_rank, clusters_single, clusters_complete, cluster_cohesion, off_topic, projection, overlap_pairs, overlap_page_risks, overlap_clusters,
+        sim_pairs, sim_pairs_by_label, sim_nearest, sim_ann_pairs, sim_ann_recall, sim_distribution, sim_percentile_rank, clusters_single, clusters_complete, cluster_cohesion, off_topic, projection, overlap_pairs, overlap_page_risks, overlap_clusters,
         overlap_summary, compare_runs, view_url_moves, view_content_differences, view_schema_comparison, report_overview, report_hubs, report_orphans, report_redirects, report_sitemap, report_indexability, report_frontier,
         report_next_batch, report_stale, report_archive_missing, report_link_counts, page_tabs, site_structure,
     )
@@ -235,9 +256,9 @@ _WORDS = u._WORDS.format("signature_model_input")
 _NPATH = u._npath
 _OVER = f"""{u._RECS},
 pg as (
-  select run_id || '/' || case when hreflang_code <> '' then lower(split_part(hreflang_code, '-', 1)) else 'unknown' end as part, url_id as id, url, embedding::double[] as e, hreflang_group as g, hreflang_code as code, coalesce(word_count, 0) as words,
+  select run_id || '/' || case when hreflang_code <> '' then lower(split_part(hreflang_code, '-', 1)) else 'unknown' end || '/' || coalesce(embedding_model, '') as part, url_id as id, url, embedding::double[] as e, hreflang_group as g, hreflang_code as code, coalesce(word_count, 0) as words,
     coalesce(signal_confidence = 'low', false) as low, signature_model_input is not null and ({_WORDS}) < 88 as thin, {u._segments('url')} as seg, {u._netloc('url')} as host, {_NPATH('url')} as np
-  from recs where status = 200 and kind = 'html' and url is not null and embedding_model = 'sigvec-base-64' and embedding is not null
+  from recs where status = 200 and kind = 'html' and url is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pr as (
   select x.part, x.id as a, y.id as b, list_cosine_similarity(x.e, y.e) as s, x.url as url_a, y.url as url_b, x.low or y.low as low_confidence,
@@ -254,9 +275,12 @@ fl as (
 ri as (
   select p.part, p.id, round(coalesce(m, 0), 4) as max_similarity, case when dup and not rich then '{overlap.THIN}' when plain_dup then case when hub then '{overlap.PARENT_CHILD}' else '{overlap.DUPLICATE}' end
     when plain then '{overlap.HIGH}' when timed then '{overlap.SEQUENCED}' else '' end as risk from pg p left join fl using (part, id))"""
-_SNAP = r"""(select *, split_part(h1_tags, chr(10), 1) as h1,
-    regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/index\.(php|html?)$', ''), '/+$', ''), '^$', '/') as path, lower(regexp_extract(trim(url), '//([^/?#]*)', 1)) as h
-  from page_run_snapshots where run_id = '{0}' qualify row_number() over (partition by path order by fetched_at desc nulls last, 'https://' || h || path desc, content_hash_sha256 desc nulls last, content_hash_simhash desc nulls last, title desc nulls last) = 1)"""
+_SNAP = r"""(select s.session_id, p.*, split_part(h1_tags, chr(10), 1) as h1,
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/index\.(php|html?)$', ''), '/+$', ''), '^$', '/') as path,
+    regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '//([^/?#]*)', 1)), ':\d*$', ''), '^www\.', '') as host
+  from page_run_snapshots p join sessions s on p.run_id = s.{0} qualify row_number() over (partition by s.session_id, host, path order by fetched_at desc nulls last, content_hash_sha256 desc nulls last, content_hash_simhash desc nulls last, title desc nulls last) = 1)"""
+_SESSIONS = """sessions as (select *, 'cmp-' || replace(baseline, 'snap-', '') || '-' || replace(candidate, 'snap-', '') as session_id from (
+  select run_id as baseline, lead(run_id) over (order by run_id) as candidate from (select distinct run_id from page_run_snapshots)) where candidate is not null)"""
 _CMP = "case when a.path is null or b.path is null then null else {0} end"
 _DIFF = lambda c: (f"case when a.path is not null and b.path is not null and a.{c} is distinct from b.{c} then a.{c} end", f"case when a.path is not null and b.path is not null and a.{c} is distinct from b.{c} then b.{c} end")
 _DIST = "bit_count(xor(a.content_hash_simhash, b.content_hash_simhash))"
@@ -276,6 +300,9 @@ SQL = {
     "site_structure": f"with {_PAGES} select {u._netloc('url')} as host, coalesce(({u._segments('url')})[1], '/') as section, count(*) as pages from pg group by 1, 2 order by pages desc, host, section limit 50",
     "sim_pairs": f"with {_V}, {_p(LEAST)} select a, b, round(s, 4) as sim from p",
     "sim_pairs_by_label": f"with {_V}, {_p(LEAST, 'and x.label <> y.label')} select a, b, round(s, 4) as sim from p",
+    "sim_ann_pairs": f"""with {u._RECS}, v as (select coalesce(embedding_model, '') as part, url_id as id, embedding::double[] as e from recs where embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0)
+select x.part, x.id as a, y.id as b, round(list_cosine_similarity(x.e, y.e), 4) as sim from v x join v y on x.part = y.part and len(x.e) = len(y.e) and x.id < y.id where list_cosine_similarity(x.e, y.e) >= 0.9""",
     "sim_nearest": f"with {_V}, {_NN} select id, round(nn, 6) as nn from nn",
     "sim_distribution": f"""with {_V}, n as (select x.label, x.id, max(list_cosine_similarity(x.e, y.e)) as nn from v x join v y on x.label = y.label and x.id <> y.id group by 1, 2),
 q as (select label, quantile_cont(nn, [0.5, 0.9, 0.95, 0.99, 0.999]) as p from n group by 1), g as (select label, {_GRID} from (select x.label, list_cosine_similarity(x.e, y.e) as s from v x join v y on x.label = y.label and x.id < y.id) group by 1)
@@ -294,12 +321,12 @@ select id, round(sim, 6) as sim from s where sim <= (select quantile_cont(sim, 0
     "overlap_pairs": f"with {_OVER} select part, a, b, round(s, 4) as sim, url_a, url_b, low_confidence, relation, section_a, section_b, thin, pair_class from pr",
     "overlap_page_risks": f"with {_OVER} select part, id, max_similarity, risk from ri where risk <> ''",
     "overlap_summary": f"with {_OVER} select risk, count(*) as n from ri group by 1",
-    "compare_runs": f"""with a as {_SNAP.format('snap-w07')}, b as {_SNAP.format('snap-w08')}
-select coalesce(a.path, b.path) as path, a.path is not null as exists_on_baseline, b.path is not null as exists_on_candidate,
+    "compare_runs": f"""with {_SESSIONS}, a as {_SNAP.format('baseline')}, b as {_SNAP.format('candidate')}
+select coalesce(a.session_id, b.session_id) as session_id, coalesce(a.host, b.host) as host, coalesce(a.path, b.path) as path, a.path is not null as exists_on_baseline, b.path is not null as exists_on_candidate,
   case when a.path is null or b.path is null then 'missing' when (a.content_hash_sha256 is null or b.content_hash_sha256 is null) and {_DIST} is null then 'unknown' when a.content_hash_sha256 = b.content_hash_sha256 then 'identical' when {_DIST} <= 4 then 'near' else 'changed' end as content_verdict,
   cast({_CMP.format(_DIST)} as int) as simhash_distance, {_DIFF('title')[0]} as baseline_title, {_DIFF('title')[1]} as candidate_title, {_DIFF('h1')[0]} as baseline_h1, {_DIFF('h1')[1]} as candidate_h1,
   {_DIFF('word_count')[0]} as baseline_word_count, {_DIFF('word_count')[1]} as candidate_word_count, false as is_moved_content
-from a full outer join b on a.path = b.path""",
+from a full outer join b on a.session_id = b.session_id and a.host = b.host and a.path = b.path""",
     "view_url_moves": "select distinct session_id, path, baseline_url, candidate_url from compare_rows where is_moved_content",
     "view_content_differences": """select session_id, host, path, baseline_title, candidate_title, baseline_h1, candidate_h1, baseline_word_count, candidate_word_count from compare_rows
 where exists_on_baseline and exists_on_candidate and (baseline_title is distinct from candidate_title or baseline_h1 is distinct from candidate_h1 or baseline_word_count is distinct from candidate_word_count)""",

@@ -84,9 +84,9 @@ def doc_simhash(spark, d):
 
 
 def simhash_near_dups(spark, d):
-    """Each document with the class of its near fingerprints and the number of other fingerprints two bits away at most."""
+    """Each document with the class of its near fingerprints and the number of other fingerprints four bits away at most."""
     prints = Scratch(spark).cut(doc_simhash(spark, d), "prints")
-    pairs = Scratch(spark).cut(text.near_pairs(prints, "simhash", 2), "pairs")
+    pairs = Scratch(spark).cut(text.near_pairs(prints, "simhash"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("simhash")).groupBy("simhash").agg(F.count("*").alias("n_links"))
     classes = connected_components(pairs.select("a", "b")).select(F.col("node").alias("simhash"), F.col("component").alias("class_id"))
     out = prints.join(ends, "simhash", "left").join(classes, "simhash", "left")
@@ -320,7 +320,7 @@ where not ends_with(lower({_VPATH}), '.htm') and not ends_with(lower({_VPATH}),
     "doc_exact_dups": "select sha256(text) as sha256, count(*) as n, min(doc_id) as first_id from documents where text is not null group by 1 having count(*) > 1",
     "doc_simhash": _SIMHASH,
     "simhash_near_dups": f"""with recursive f as ({_SIMHASH}), s as (select distinct simhash as h from f),
-e as (select x.h as a, y.h as b from s x join s y on x.h <> y.h and bit_count(xor(x.h, y.h)) <= 2),
+e as (select x.h as a, y.h as b from s x join s y on x.h <> y.h and bit_count(xor(x.h, y.h)) <= 4),
 reach as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b),
 classes as (select a, least(a, min(b)) as c from reach group by a), links as (select a, count(*) as n from e group by a)
 select doc_id, coalesce(c, simhash) as class_id, coalesce(n, 0) as n_links from f left join classes on classes.a = simhash left join links on links.a = simhash""",
