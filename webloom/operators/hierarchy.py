@@ -9,11 +9,14 @@ descendants without ever expanding all pairs.  Entries never reached lie on loop
 them: doubling goes on until the set of pointers no longer shrinks, and that set is the loops.
 
 Hot parents: sums are pre-aggregated before their shuffle, and the pointer join is a plain
-sort-merge join that adaptive execution splits.
+sort-merge join that adaptive execution splits.  Once reached, an entry is written and never moves again: each round
+joins the active entries to what they point at, and the sums of all rounds are added up once.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,35 +53,37 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     links = scratch.cut(links.select("tree", "node", "parent"), "links")
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     ptr = F.when(F.col("known"), F.col("parent"))
-    path = [F.array("node").alias("path")] if with_path else []
-    state = links.join(known, ["tree", "parent"], "left").select(
-        "tree", "node", ptr.alias("ptr"), ptr.alias("parent"), F.when(ptr.isNull(), F.col("node")).alias("root"),
-        F.when(ptr.isNull(), F.lit(0)).alias("hops"), F.lit(1).cast("long").alias("size"), *path,
-    )
-    state, step = scratch.cut(state, "state"), 1
-    left = state.where("ptr is not null").count()
+    path = ["path"] if with_path else []
+    start = links.join(known, ["tree", "parent"], "left").select("tree", "node", ptr.alias("ptr"), *([F.array("node").alias("path")] if with_path else []))
+    start, step = scratch.cut(start, "start"), 1
+    # finished entries are written once, a table a round, and only looked up from then on; active ones move
+    done = [start.where("ptr is null").select("tree", "node", F.col("node").alias("root"), F.lit(0).alias("hops"), *path)]
+    active = start.where("ptr is not null").select("tree", "node", "ptr", F.col("ptr").alias("parent"), F.lit(1).cast("long").alias("size"), *path)
+    sums, left = [], active.count()
     while left:
-        active = state.where("ptr is not null")
-        known = [F.col("ptr").alias("ptr2"), F.col("root").alias("root2"), F.col("hops").alias("hops2")]
-        null = lambda kind: F.lit(None).cast(kind)
-        moved = _jump(active.select("tree", "node", "ptr", "parent", *(["path"] if with_path else [])), state, known + [F.col("path").alias("path2")] * with_path)
-        moved = moved.select("tree", "node", F.col("ptr2").alias("ptr"), "parent", F.col("root2").alias("root"), (F.col("hops2") + step).alias("hops"), F.lit(0).cast("long").alias("size"), *([F.concat("path2", "path").alias("path")] if with_path else []))
-        pairs = active.groupBy("tree", F.col("ptr").alias("node")).agg(F.sum("size").alias("size"))
-        none = {"ptr": "long", "parent": "long", "root": "long", "hops": "int"} | ({"path": "array<bigint>"} if with_path else {})
-        own = state.select("tree", "node", *(F.when(F.col("ptr").isNull(), F.col(c)).alias(c) for c in none), "size")
-        pairs = pairs.select("tree", "node", *(null(t).alias(c) for c, t in none.items()), "size")
-        merged = own.unionByName(moved).unionByName(pairs).groupBy("tree", "node").agg(*(F.max(c).alias(c) for c in none), F.sum("size").alias("size"))
-        old, state, step = state, scratch.cut(merged, "state"), step * 2
+        reached = functools.reduce(DataFrame.unionByName, done).select("tree", F.col("node").alias("ptr"), F.lit(None).cast("long").alias("ptr2"), F.col("root").alias("root2"), F.col("hops").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
+        still = active.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.lit(None).cast("long").alias("root2"), F.lit(None).cast("int").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
+        met = active.join(reached.unionByName(still), ["tree", "ptr"])
+        met = scratch.cut(met.select("tree", "node", F.col("ptr2").alias("ptr"), "parent", "size", F.col("root2").alias("root"), (F.col("hops2") + step).alias("hops"), *([F.concat("path2", "path").alias("path")] if with_path else [])), "met")
+        gained = scratch.cut(active.groupBy("tree", F.col("ptr").alias("node")).agg(F.sum("size").alias("gain")), "gained")
+        sums.append(gained)
+        done.append(met.where("root is not null").select("tree", "node", "root", "hops", *path))
+        more = met.where("ptr is not null").join(gained, ["tree", "node"], "left")
+        old, active, step = active, scratch.cut(more.select("tree", "node", "ptr", "parent", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), *path), "active"), step * 2
         scratch.drop(old)
-        now = state.where("ptr is not null").count()
+        now = active.count()
         if now == left:
             break  # nobody was reached: a nearer entry would have been first
         left = now
-    extra = ["path"] if with_path else []
-    reached = state.where("ptr is null").select("tree", "node", "root", "hops", (F.col("size") - 1).alias("n_below"), *extra)
+    reached = functools.reduce(DataFrame.unionByName, done)
+    below = F.lit(0).cast("long")
+    if sums:
+        total = functools.reduce(DataFrame.unionByName, sums).groupBy("tree", "node").agg(F.sum("gain").alias("gain"))
+        reached, below = reached.join(total, ["tree", "node"], "left"), F.coalesce("gain", F.lit(0))
+    reached = reached.select("tree", "node", "root", "hops", below.alias("n_below"), *path)
     if not left:
         return reached
-    loops = _loops(scratch, state.where("ptr is not null").select("tree", "node", "ptr", "parent", "size"))
+    loops = _loops(scratch, active.select("tree", "node", "ptr", "parent", "size"))
     return reached.unionByName(loops, allowMissingColumns=True)
 
 

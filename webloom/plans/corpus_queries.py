@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators.hierarchy import hierarchy, latest_links
+from webloom.operators.hierarchy import descendants, hierarchy, latest_links
 from webloom.operators.snapshots import snapshot_changes
 from webloom.plans.tables import table
 
@@ -25,11 +25,17 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("tree").alias("run_id"), F.col("node").alias("url_id"), F.col("hops").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry below each ancestor, and how many links below."""
+    out = descendants(hierarchy(_links(spark, d), with_path=True).where("hops > 0"))
+    return out.select(F.col("tree").alias("run_id"), "ancestor", F.col("node").alias("url_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "page_run_snapshots"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_descendants": p1_descendants, "p1_paths": p1_paths, "p4_found": p4_found}
 
 _NEWEST = """
 newest as (
@@ -67,6 +73,16 @@ walk as (
   union all
   select l.run_id, l.url_id, w.depth + 1, w.path || '/' || l.url_id from walk w join links l on l.run_id = w.run_id and l.parent = w.url_id)
 select run_id, url_id, cast(depth as bigint) as depth, path from walk""",
+    "p1_descendants": f"""
+with recursive {_NEWEST.strip()},
+rooted as (
+  select run_id, url_id from links where parent is null
+  union all select l.run_id, l.url_id from rooted r join links l on l.run_id = r.run_id and l.parent = r.url_id),
+below as (
+  select run_id, parent as ancestor, url_id, 1 as distance from links join rooted using (run_id, url_id) where parent is not null
+  union all
+  select b.run_id, l.parent, b.url_id, b.distance + 1 from below b join links l on l.run_id = b.run_id and l.url_id = b.ancestor where l.parent is not null)
+select run_id, ancestor, url_id, cast(distance as bigint) as distance from below""",
     "p4_found": r"""
 with rows_ as (
   select run_id, fetched_at, title,
