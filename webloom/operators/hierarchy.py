@@ -15,8 +15,6 @@ joins the active entries to what they point at, and the sums of all rounds are a
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,31 +52,32 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     ptr = F.when(F.col("known"), F.col("parent"))
     path = ["path"] if with_path else []
-    start = links.join(known, ["tree", "parent"], "left").select("tree", "node", ptr.alias("ptr"), *([F.array("node").alias("path")] if with_path else []))
+    null = lambda kind: F.lit(None).cast(kind)
+    root, size = F.when(ptr.isNull(), F.col("node")), F.lit(1).cast("long")
+    start = links.join(known, ["tree", "parent"], "left").select("tree", "node", ptr.alias("ptr"), ptr.alias("parent"), size.alias("size"), root.alias("root"), F.when(root.isNotNull(), 0).alias("hops"), *([F.array("node").alias("path")] if with_path else []))
     start, step = scratch.cut(start, "start"), 1
     # finished entries are written once, a table a round, and only looked up from then on; active ones move
-    done = [start.where("ptr is null").select("tree", "node", F.col("node").alias("root"), F.lit(0).alias("hops"), *path)]
-    active = start.where("ptr is not null").select("tree", "node", "ptr", F.col("ptr").alias("parent"), F.lit(1).cast("long").alias("size"), *path)
-    sums, left = [], active.count()
+    rounds, sums, active = [start], [], start.where("root is null").select("tree", "node", "ptr", "parent", "size", *path)
+    left = active.count()
+    done = lambda: scratch.together(*rounds).where("root is not null")
     while left:
-        reached = functools.reduce(DataFrame.unionByName, done).select("tree", F.col("node").alias("ptr"), F.lit(None).cast("long").alias("ptr2"), F.col("root").alias("root2"), F.col("hops").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
-        still = active.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.lit(None).cast("long").alias("root2"), F.lit(None).cast("int").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
+        reached = done().select("tree", F.col("node").alias("ptr"), null("long").alias("ptr2"), F.col("root").alias("root2"), F.col("hops").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
+        still = active.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), null("long").alias("root2"), null("int").alias("hops2"), *([F.col("path").alias("path2")] if with_path else []))
         met = active.join(reached.unionByName(still), ["tree", "ptr"])
         met = scratch.cut(met.select("tree", "node", F.col("ptr2").alias("ptr"), "parent", "size", F.col("root2").alias("root"), (F.col("hops2") + step).alias("hops"), *([F.concat("path2", "path").alias("path")] if with_path else [])), "met")
         gained = scratch.cut(active.groupBy("tree", F.col("ptr").alias("node")).agg(F.sum("size").alias("gain")), "gained")
+        rounds.append(met)
         sums.append(gained)
-        done.append(met.where("root is not null").select("tree", "node", "root", "hops", *path))
-        more = met.where("ptr is not null").join(gained, ["tree", "node"], "left")
+        more = met.where("root is null").join(gained, ["tree", "node"], "left")
         old, active, step = active, scratch.cut(more.select("tree", "node", "ptr", "parent", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), *path), "active"), step * 2
         scratch.drop(old)
         now = active.count()
         if now == left:
             break  # nobody was reached: a nearer entry would have been first
         left = now
-    reached = functools.reduce(DataFrame.unionByName, done)
-    below = F.lit(0).cast("long")
+    reached, below = done(), F.lit(0).cast("long")
     if sums:
-        total = functools.reduce(DataFrame.unionByName, sums).groupBy("tree", "node").agg(F.sum("gain").alias("gain"))
+        total = scratch.together(*sums).groupBy("tree", "node").agg(F.sum("gain").alias("gain"))
         reached, below = reached.join(total, ["tree", "node"], "left"), F.coalesce("gain", F.lit(0))
     reached = reached.select("tree", "node", "root", "hops", below.alias("n_below"), *path)
     if not left:

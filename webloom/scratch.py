@@ -40,6 +40,11 @@ class Scratch:
         self._paths[path] = out
         return out
 
+    def together(self, *frames: DataFrame) -> DataFrame:
+        """The rows of frames of one schema made by ``cut``, as one scan of their files rather than a union of scans."""
+        paths = [p for p, df in self._paths.items() if any(df is x for x in frames)]
+        return self.spark.read.schema(frames[0].schema).parquet(*paths)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files behind frames made by ``cut``; others are ignored."""
         for path in [p for p, df in self._paths.items() if any(df is x for x in frames)]:
