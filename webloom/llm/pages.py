@@ -35,7 +35,7 @@ HIDDEN = frozenset("script style noscript head title template svg iframe".split(
 _CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 _BLOCKS = frozenset("div section article aside nav header footer main ul ol table blockquote pre h1 h2 h3 h4 h5 h6 form p".split())
-_TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT, _BLANKS, _DIGITS = re.compile(r"[^a-z]+"), re.compile(r"\s+"), re.compile(r"\d+")
 TAGS = ["p", "li", "td", "h1", "h2", "div", "blockquote", "pre", "button", "ul", "table", "section", "article", "aside", "header", "footer", "nav", "main"]
@@ -43,7 +43,9 @@ ABOVE = ["article", "main", "section", "aside", "header", "footer", "nav", "tabl
 
 
 def clean(text: str) -> str:
-    return _BLANKS.sub(" ", entities.unescape(text)).strip()
+    if "&" in text:
+        text = entities.unescape(text)
+    return " ".join(text.split()) if text.isascii() else _BLANKS.sub(" ", text).strip()
 
 
 @dataclass
@@ -88,7 +90,8 @@ def parse(source: str) -> list[Node]:
             hidden -= nodes[stack.pop()].tag in HIDDEN
 
     while m := _TOKEN.search(source, at):
-        say(source[at : m.start()])
+        if m.start() > at:
+            say(source[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -97,7 +100,8 @@ def parse(source: str) -> list[Node]:
             if tag == "a":
                 in_link = max(0, in_link - 1) if end else 1
             continue
-        flush()
+        if words:
+            flush()
         if end:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), 0)
             if depth:
