@@ -44,6 +44,13 @@ def test_dense_list_is_cut_into_blocks(spark):
     assert sets(got(df, block=32)) == sets(got(df)) == sets(brute(rows))
 
 
+def test_the_exact_way(spark):
+    rows = clusters(600, 300, 8, 0.8, seed=3)
+    have = got(spark.createDataFrame(rows, SCHEMA), least=0.3, gap=2, sigmas=float("inf"), most_lists=7)
+    want = brute(rows, least=0.3)
+    assert {i: set(n) for i, n in have.items()} == {i: set(n) for i, n in want.items()}
+
+
 def test_dirty_vectors_copies_and_empty(spark):
     rows = [(i, "m", [1.0, 2.0, 3.0]) for i in range(1, 10)] + [(20, "m", [2.0, 4.0, 6.1]), (21, None, [1.0, 2.0, 3.0]), (22, None, [1.0, 2.0, 3.1])]
     rows += [(30, "m", None), (31, "m", [0.0, 0.0, 0.0]), (32, "m", [float("nan"), 1.0, 1.0]), (33, "m", [1.0, None, 1.0]), (34, "m", []), (35, "m", [1.0, 2.0])]

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from webloom.scratch import Scratch
 
 SAMPLE, ROWS_PER_LIST, MOST_LISTS, SUBSPACES, CODES = 20_000, 512, 2048, 8, 256
+PAIRS = 200_000  # vectors of so many pairs are held at once
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int, spherical: bool) -> np.ndarray:
@@ -53,9 +54,9 @@ class Index:
     books: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, seed: int = 7) -> Index:
+    def fit(cls, sample: np.ndarray, rows: int, seed: int = 7, most_lists: int = MOST_LISTS) -> Index:
         rng = np.random.default_rng(seed)
-        centres = _kmeans(sample, int(np.clip(rows // ROWS_PER_LIST, 1, MOST_LISTS)), rng, 8, True)
+        centres = _kmeans(sample, int(np.clip(rows // ROWS_PER_LIST, 1, most_lists)), rng, 8, True)
         rest = cls._split(sample - centres[(sample @ centres.T).argmax(1)])
         return cls(centres, np.stack([np.resize(b := _kmeans(rest[:, m], CODES, rng, 6, False), (CODES, b.shape[1])) for m in range(SUBSPACES)]))
 
@@ -157,9 +158,10 @@ def _searcher(index: dict[tuple[str, int], Index], k: int, least: float, sigmas:
             part = q.iloc[at : at + 1024]
             qv, qid = _stack(part.vec.tolist()), part.id.to_numpy()
             r, c = np.nonzero(ix.scores(qv, list_id, codes) >= floor)
-            exact = np.einsum("ij,ij->i", qv[r], mv[c], dtype=np.float64)
             sim = np.full((len(part), len(m)), -2.0)
-            sim[r, c] = exact
+            for lo in range(0, len(r), PAIRS):
+                x, y = r[lo : lo + PAIRS], c[lo : lo + PAIRS]
+                sim[x, y] = np.einsum("ij,ij->i", qv[x], mv[y], dtype=np.float64)
             ok = (sim >= least) & (qid[:, None] != mid[None, :])
             out += [_best(sim, ok, qid, mid, k), _best(sim.T, ok.T, mid, qid, k)]
         a, b, s = (np.concatenate(x) for x in zip(*out))
@@ -168,9 +170,11 @@ def _searcher(index: dict[tuple[str, int], Index], k: int, least: float, sigmas:
     return search
 
 
-def nearest_neighbours(rows: DataFrame, k: int = 5, least: float = 0.85, gap: float = 0.1, sigmas: float = 4.0, block: int = 4096, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, k: int = 5, least: float = 0.85, gap: float = 0.1, sigmas: float = 4.0, block: int = 4096, sample: int = SAMPLE, most_lists: int = MOST_LISTS) -> DataFrame:
     """(id, neighbour, sim): the ``k`` rows of highest cosine, at least ``least``, of every row, within its model.
 
+    There is a list for every ROWS_PER_LIST rows of a model, ``most_lists`` at most; raise it and ``sample`` with the rows, as
+    lists grow beyond it.  ``gap=2, sigmas=inf`` asks all lists and rules nothing out: the exact way.
     rows: id, model, embedding; ids are unique.  Null model is a model of its own; unusable vectors and vectors
     of another length have no part in each other; ties go to the smaller id; an empty table gives no rows.
     """
@@ -183,7 +187,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, least: float = 0.85, gap: fl
         return spark.createDataFrame([], "id long, neighbour long, sim double")
     pick = F.row_number().over(Window.partitionBy("model", "dim").orderBy(F.xxhash64("rep"), "rep"))
     chosen = classes.select("model", "dim", "rep", "vec").withColumn("pick", pick).where(F.col("pick") <= sample).select("model", "dim", "vec").toPandas()
-    index = {key: Index.fit(_stack(part.vec.tolist()), counts[key]) for key, part in chosen.groupby(["model", "dim"])}
+    index = {key: Index.fit(_stack(part.vec.tolist()), counts[key], most_lists=most_lists) for key, part in chosen.groupby(["model", "dim"])}
 
     asked = classes.select("model", "dim", F.col("rep").alias("id"), "vec").mapInArrow(_assign(index, gap), "model string, dim int, list int, home boolean, id long, vec binary, codes binary, missed float")
     asked = scratch.cut(asked, "asked")
