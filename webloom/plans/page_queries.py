@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from webloom.functions import detect, html
@@ -31,50 +33,58 @@ def html_links(spark, d):
     return links.select("url_id", "l.href", "l.anchor_text")
 
 
-PAGES = """select * from (values
-  (1, 'https://h/1', '<script src="https://www.googletagmanager.com/gtm.js?id=GTM-AB12"></script><script>gtag(''config'', ''G-XY9'')</script>', 200, ''),
-  (2, 'https://h/2', '<script src="/wp-content/themes/a.js"></script><script src="/wp-content/plugins/b.js"></script><script>fbq(''init'', ''123'');fbq(''track'', ''x'')</script>', 200, '_ga=GA1.2; path=/'),
-  (3, 'https://h/3', '<html>Just a moment... <script>window.__cf_chl_opt={}</script></html>', 503, ''),
-  (4, 'https://h/4', '<p>please wait px-captcha</p>', 403, ''),
-  (5, 'https://h/5', '<img src="https://cdn.shopify.com/s/x.png"><a href="/collections/a?variant=1">x</a>', 200, ''),
-  (6, 'https://h/6', '<p>price: 12 EUR, price: 15 EUR</p>', 200, '_abck=1')
-) as t(url_id, url, html, status, cookie)"""
+# The pages of the tables carry no scripts of vendors and no challenges: each page gets one of these marks by its id.
+MARKS = [
+    ('<script src="https://www.googletagmanager.com/gtm.js?id=GTM-AB12"></script><script>gtag("config", "G-XY9")</script>', 200, ""),
+    ('<script src="/wp-content/themes/a.js"></script><script src="/wp-content/plugins/b.js"></script><script>fbq("init", "123");fbq("track", "x")</script>', 200, "_ga=GA1.2; path=/"),
+    ("Just a moment... <script>window.__cf_chl_opt={}</script>", 503, ""),
+    ("<p>please wait px-captcha</p>", 403, ""),
+    ('<img src="https://cdn.shopify.com/s/x.png"><a href="/collections/a?variant=1">x</a>', 200, ""),
+    ("<p>reference</p>", 403, "_abck=1"),
+    ('<iframe src="https://geo.captcha-delivery.com/c"></iframe><script src="https://cdn.segment.com/analytics.js/v1/KEY1/analytics.min.js"></script>', 403, "_gid=2"),
+    ('<script src="/_Incapsula_Resource?x"></script>gtag("config", "G-XY9") gtag("config", "G-ZZ1")', 200, ""),
+    ("", 200, ""),
+]
 
 
-def _fixture(spark):
-    rows = spark.sql(PAGES)
-    return rows.withColumn("headers", F.create_map(F.lit("Set-Cookie"), "cookie"))
+def _marked(spark, d):
+    """Pages with a mark, a status and a cookie by their id."""
+    k = F.pmod("url_id", F.lit(len(MARKS))).cast("int")
+    of = lambda n: F.get(F.array(*(F.lit(m[n]) for m in MARKS)), k)
+    rows = _html(spark, d).where("url_id is not null")
+    return rows.select("url_id", "url", F.concat(F.coalesce("html", F.lit("")), of(0)).alias("html"), of(1).alias("status"), of(2).alias("cookie")).withColumn("headers", F.create_map(F.lit("Set-Cookie"), "cookie"))
 
 
 def vendor_hits(spark, d):
-    """Vendors of each page; the table has no cookies."""
-    hits = _html(spark, d).select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.lit(""))).alias("h"))
+    """Vendors of each page."""
+    hits = _marked(spark, d).select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.col("cookie"))).alias("h"))
     return hits.select("url_id", "h.vendor", F.coalesce("h.identifier", F.lit("")).alias("identifier"), "h.evidence_type", "h.confidence")
 
 
 def vendor_inventory(spark, d):
-    pages = _html(spark, d).select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.lit("")).alias("analytics"))
+    pages = _marked(spark, d).select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.col("cookie")).alias("analytics"))
     return reports.vendor_inventory(pages).select("vendor", "category", F.coalesce("identifier", F.lit("")).alias("identifier"), "page_count")
 
 
 def pages_without_vendor(spark, d):
-    pages = _html(spark, d).select(F.lit("r").alias("run_id"), "url", F.lit("html").alias("kind"), detect.vendor_hits(F.col("html"), F.lit("")).alias("analytics"))
+    pages = _marked(spark, d).select(F.lit("r").alias("run_id"), "url", F.lit("html").alias("kind"), detect.vendor_hits(F.col("html"), F.col("cookie")).alias("analytics"))
     return reports.pages_without_vendor(pages, "ga4").select("url")
 
 
 def cms_detected(spark, d):
-    """System of each page; the table has no headers."""
-    out = _html(spark, d).select("url_id", detect.detected_cms(F.col("html"), F.lit(None).cast("map<string,string>")).alias("c"))
+    """System of each page."""
+    out = _marked(spark, d).select("url_id", detect.detected_cms(F.col("html"), F.col("headers")).alias("c"))
     return out.select("url_id", F.coalesce("c.cms_name", F.lit("")).alias("cms"), "c.confidence")
 
 
 def challenges(spark, d):
-    return _fixture(spark).select("url_id", F.coalesce(detect.challenge(F.col("status"), F.col("headers"), F.col("html")), F.lit("")).alias("vendor"))
+    return _marked(spark, d).select("url_id", F.coalesce(detect.challenge(F.col("status"), F.col("headers"), F.col("html")), F.lit("")).alias("vendor"))
 
 
 def custom_rules(spark, d):
-    values = detect.custom_regex(F.col("html"), [{"name": "prices", "pattern": r"price: (\d+) EUR", "multiple": True}, {"name": "first", "pattern": r"price: (\d+)"}])
-    return _fixture(spark).select("url_id", F.coalesce(values["prices"], F.lit("")).alias("prices"), F.coalesce(values["first"], F.lit("")).alias("first"))
+    """Headings and first paragraphs by user rules."""
+    values = detect.custom_regex(F.col("html"), [{"name": "headings", "pattern": r"<h[123]>([^<>]+)</h[123]>", "multiple": True}, {"name": "first", "pattern": r"<p>([^<>]+)</p>"}])
+    return _html(spark, d).select("url_id", F.coalesce(values["headings"], F.lit("")).alias("headings"), F.coalesce(values["first"], F.lit("")).alias("first"))
 
 
 ROBOTS = "User-agent: *\nDisallow: /blog\nAllow: /blog/oak\nDisallow: /*?sku=\nDisallow: /*.htm$\nUser-agent: other\nDisallow: /"
@@ -90,21 +100,23 @@ def robots_decisions(spark, d):
     return detect.robots_decisions(rows, rules, "loom/1").select("host", "path", "allowed", F.coalesce("matched_rule", F.lit("")).alias("matched_rule"))
 
 
-PAIRS = """select * from (values
-  ('https://o/a', 'https://n/a'), ('https://o/b', 'https://n/b'), ('https://o/c', 'https://n/c'), ('https://o/d', 'https://n/d'), ('https://o/e', 'https://n/e'), ('https://o/f', 'https://n/f'), ('https://o/g', 'https://n/a'), ('https://o/h', 'https://n/h'), ('https://n/a', 'https://n/a/')
-) as t(source_url, target_url)"""
-ANSWERS = """select * from (values
-  ('https://o/a', 'https://n/a', 200, '301', 's1', 255), ('https://o/b', 'https://n/b', 200, '301,301', 's2', 254), ('https://o/c', 'https://n/c', 200, '302', 's3', 0), ('https://o/d', 'https://o/d', 200, '', 's4', 7), ('https://o/e', 'https://n/x', 200, '301', 's5', 7),
-  ('https://o/f', 'https://o/f', 404, '', null, null), ('https://o/h', 'https://n/h', 200, '301', 's6', 1), ('https://n/a', 'https://n/a', 200, '', 's1', 255), ('https://n/b', 'https://n/b', 200, '', 's9', 255), ('https://n/c', 'https://n/c', 200, '', 's8', 255), ('https://n/d', 'https://n/d', 200, '', 's4', 7)
-) as t(requested_url, final_url, status, chain, sha256, simhash)"""
+def _answers(spark, d):
+    """What each address of the pages answered, with the signature of its record."""
+    pages = table(spark, d, "identity_pages").where("url is not null").select("run_id", "url_id", F.col("url").alias("requested_url"), "final_url", "status", "word_count").distinct()
+    recs = table(spark, d, "analysis_rows").where("run_id is not null and url_id is not null").groupBy("run_id", "url_id").agg(F.max(F.struct("fetched_at", "loaded_at", "signature_hash"))["signature_hash"].alias("sha256"))
+    hops = F.when(F.col("status").between(300, 399), F.array("status")).otherwise(F.array().cast("array<int>"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("title", "h1", "meta_description")]
+    return pages.join(recs, ["run_id", "url_id"], "left").select("requested_url", "final_url", "status", hops.alias("hops"), "sha256", F.lit(None).cast("long").alias("simhash"), *none, "word_count")
+
+
+def _mapping(spark, d):
+    """Each record's address should lead to its canonical address."""
+    return table(spark, d, "analysis_rows").where("trim(url) <> '' and trim(canonical_url) <> ''").select(F.col("url").alias("source_url"), F.col("canonical_url").alias("target_url")).distinct()
 
 
 def pair_verdicts(spark, d):
-    pages = spark.sql(ANSWERS).withColumn("simhash", F.col("simhash").cast("long")).withColumn("hops", F.transform(F.filter(F.split("chain", ","), lambda x: x != ""), lambda x: x.cast("int")))
-    for c in ("title", "h1", "meta_description"):
-        pages = pages.withColumn(c, F.lit(None).cast("string"))
-    out = compare.pair_rows(spark.sql(PAIRS), pages.withColumn("word_count", F.lit(1)))
-    return out.select("source_url", "target_url", "redirect_verdict", "n_hops", "sha256_equal", "simhash_distance", "content_verdict")
+    out = compare.pair_rows(_mapping(spark, d), _answers(spark, d))
+    return out.select("source_url", "target_url", "redirect_verdict", "n_hops", "sha256_equal", "content_verdict")
 
 
 def pair_failures(spark, d):
@@ -160,22 +172,35 @@ QUERIES = {
     )
 }
 
-_PG = "pg as (select distinct url_id, url, html from signature_pages)"
-_PAIR = f"""p as ({PAIRS}), a as ({ANSWERS}),
-m as (select p.*, s.status, s.final_url as s_final, s.requested_url as s_req, s.chain, s.sha256 as s_sha, s.simhash as s_sim, t.sha256 as t_sha, t.simhash as t_sim, s.requested_url is not null as has_s, t.requested_url is not null as has_t
-  from p left join a s on s.requested_url = p.source_url left join a t on t.requested_url = p.target_url or (t.final_url = p.target_url and not exists (select 1 from a b where b.requested_url = p.target_url))),
-v as (select source_url, target_url, cast(case when coalesce(chain, '') = '' then 0 else len(string_split(chain, ',')) end as int) as n_hops,
+_Q = lambda x: "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
+_OF = lambda n: f"([{', '.join(_Q(m[n]) for m in MARKS)}])[url_id % {len(MARKS)} + 1]"
+_MARKED = f"pg as (select url_id, url, coalesce(html, '') || {_OF(0)} as html, {_OF(1)} as status, {_OF(2)} as cookie from (select distinct url_id, url, html from signature_pages where url_id is not null))"
+_HITS = f"""{_MARKED}, every as ({" union all ".join(f"select url_id, {_Q(v)} as vendor, {_Q(c)} as category, {_Q(e)} as evidence_type, {conf} as confidence, {f'regexp_extract(m, {_Q(p)}, 1)' if re.compile(p).groups else 'null'} as identifier from (select url_id, unnest(regexp_extract_all({'cookie' if e == 'cookie' else 'html'}, {_Q(p)})) as m from pg)" for v, c, e, p, conf in detect.VENDOR_RULES)}),
+hits as (select url_id, vendor, category, coalesce(identifier, '') as identifier, evidence_type, max(confidence)::double as confidence from every group by 1, 2, 3, 4, 5)"""
+_KEYED = lambda u: rf"lower(regexp_extract(trim({u}), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(trim({u}), '//([^/?#]*)', 1)) || rtrim(regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') || regexp_extract(trim({u}), '^[^?#]*(.*)$', 1)"
+_PAIR = f"""n as (select run_id, url_id, signature_hash as sha from (select *, row_number() over (partition by run_id, url_id order by fetched_at desc nulls last, loaded_at desc nulls last, signature_hash desc nulls last) as k from analysis_rows) where k = 1),
+a as (select p.url as req, p.final_url as fin, p.status, n.sha, p.word_count as wc from (select distinct run_id, url_id, url, final_url, status, word_count from identity_pages where url is not null) p left join n using (run_id, url_id)),
+asked as (select * from a qualify row_number() over (partition by req order by fin nulls first, status nulls first, sha nulls first, wc nulls first) = 1),
+ended as (select * from a where fin is not null and fin not in (select req from asked) qualify row_number() over (partition by fin order by req, status nulls first, sha nulls first, wc nulls first) = 1),
+t as (select req as k, sha from asked union all select fin, sha from ended),
+p as (select distinct url as source_url, canonical_url as target_url from analysis_rows where trim(url) <> '' and trim(canonical_url) <> ''),
+m as (select p.*, s.req, s.fin, s.status, s.sha as s_sha, t.sha as t_sha, s.req is not null as has_s, t.k is not null as has_t, coalesce(s.status between 300 and 399, false) as hop from p left join asked s on s.req = p.source_url left join t on t.k = p.target_url),
+v as (select source_url, target_url, case when hop then 1 else 0 end as n_hops,
   case when not has_s then 'not_crawled' when status = 0 or status >= 400 then 'error_status'
-    when coalesce(chain, '') = '' and rtrim(s_final, '/') = rtrim(s_req, '/') then case when rtrim(source_url, '/') = rtrim(target_url, '/') then 'no_redirect_expected' else 'no_redirect' end
-    when rtrim(s_final, '/') <> rtrim(target_url, '/') then 'redirect_wrong_target' when regexp_matches(chain, '30[237]') then 'redirect_temporary' when contains(chain, ',') then 'redirect_chain' else 'redirect_ok' end as redirect_verdict,
-  case when has_s and has_t then s_sha is not distinct from t_sha end as sha256_equal, cast(case when has_s and has_t then bit_count(xor(s_sim, t_sim)) end as int) as simhash_distance,
-  case when not (has_s and has_t) then 'missing' when s_sha = t_sha then 'identical' when (s_sha is null or t_sha is null) and bit_count(xor(s_sim, t_sim)) is null then 'unknown' when bit_count(xor(s_sim, t_sim)) <= 4 then 'near' else 'changed' end as content_verdict from m)"""
+    when not (hop or coalesce({_KEYED('fin')} <> {_KEYED('req')}, false)) then case when {_KEYED('source_url')} = {_KEYED('target_url')} then 'no_redirect_expected' else 'no_redirect' end
+    when {_KEYED('fin')} <> {_KEYED('target_url')} then 'redirect_wrong_target' when status in (302, 303, 307) then 'redirect_temporary' else 'redirect_ok' end as redirect_verdict,
+  case when has_s and has_t then s_sha is not distinct from t_sha end as sha256_equal,
+  case when not (has_s and has_t) then 'missing' when s_sha is null or t_sha is null then 'unknown' when s_sha = t_sha then 'identical' else 'changed' end as content_verdict from m)"""
 _TUMBLE = "select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2, 3"
 _PATHQ = r"regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) || case when regexp_extract(trim(url), '\?([^#]*)', 1) <> '' then '?' || regexp_extract(trim(url), '\?([^#]*)', 1) else '' end"
 SQL = {
-    "pages_without_vendor": rf"""with {_PG} select url from pg where not regexp_matches(coalesce(html, ''), 'googletagmanager\.com/gtag/js\?id=G-[A-Z0-9]+|gtag\([''"]config[''"],\s*[''"]G-[A-Z0-9]+[''"]|dataLayer\.push\(\{{[^}}]*[''"]gtag\.config[''"]')""",
-    "challenges": f"""select url_id, case when regexp_matches(lower(html), 'just a moment\\.\\.\\.|__cf_chl_|cf_chl_opt') then 'cloudflare' when contains(lower(html), 'px-captcha') and status in (403, 429) then 'perimeterx' when contains(cookie, '_abck') and status in (403, 429) then 'akamai' else '' end as vendor from ({PAGES})""",
-    "custom_rules": rf"""select url_id, coalesce(array_to_string(regexp_extract_all(html, 'price: (\d+) EUR', 1), chr(10)), '') as prices, regexp_extract(html, 'price: (\d+)', 1) as first from ({PAGES})""",
+    "vendor_hits": f"with {_HITS} select url_id, vendor, identifier, evidence_type, confidence from hits",
+    "vendor_inventory": f"with {_HITS} select vendor, category, identifier, count(distinct url_id) as page_count from hits group by 1, 2, 3",
+    "pages_without_vendor": f"with {_HITS} select url from pg where not exists (select 1 from hits where hits.url_id = pg.url_id and vendor = 'ga4')",
+    "challenges": f"""with {_MARKED} select url_id, case when regexp_matches(lower(html), 'just a moment\\.\\.\\.|__cf_chl_|cf_chl_opt|challenges\\.cloudflare\\.com/turnstile') then 'cloudflare'
+  when contains(lower(html), 'geo.captcha-delivery.com') or (contains(cookie, 'datadome') and status in (403, 429)) then 'datadome' when regexp_matches(lower(html), 'px-captcha|_px2|perimeterx|px\\.gif') and status in (403, 429) then 'perimeterx'
+  when contains(cookie, '_abck') and status in (403, 429) then 'akamai' when contains(lower(html), '_incapsula_resource') then 'imperva' else '' end as vendor from pg""",
+    "custom_rules": r"""select url_id, coalesce(array_to_string(regexp_extract_all(html, '<h[123]>([^<>]+)</h[123]>', 1), chr(10)), '') as headings, coalesce(regexp_extract(html, '<p>([^<>]+)</p>', 1), '') as first from (select distinct url_id, url, html from signature_pages)""",
     "robots_decisions": rf"""with u as (select distinct lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) as host, {_PATHQ} as path from analysis_rows where url is not null)
 select host, path, case when starts_with(path, '/blog/oak') and not regexp_matches(path, '^.*\?sku=') or not (starts_with(path, '/blog') or contains(path, '?sku=') or regexp_matches(path, '^/.*\.htm$')) then true when starts_with(path, '/blog/oak') then true else false end as allowed,
   case when starts_with(path, '/blog/oak') then 'Allow: /blog/oak' when contains(path, '?sku=') then 'Disallow: /*?sku=' when regexp_matches(path, '^/.*\.htm$') then 'Disallow: /*.htm$' when starts_with(path, '/blog') then 'Disallow: /blog' else '' end as matched_rule from u""",
