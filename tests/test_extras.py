@@ -81,7 +81,7 @@ def test_report_files(spark, tmp_path):
     pairs = spark.createDataFrame([(0.95, "a", "b", "sibling"), (0.86, "c", "d", "sibling")], "sim double, url_a string, url_b string, relation string")
     e = sinks.overlap_envelope(pages, pairs, pages.limit(0), {"run": "r"}, floor=1)
     assert e["summary"] == {"pages": 1, "pairs": 2, "pairs_told": 1, "truncated": True, "clusters": 0}
-    sinks.write_html(e, str(tmp_path / "r.html"))
+    sinks.write_html(spark, e, str(tmp_path / "r.html"))
     text = (tmp_path / "r.html").read_text()
     assert text.count("</script>") == 2 and json.loads(text.split('application/json">')[1].split("</script>")[0])["pages"][0]["url"] == "https://h/</script>"
     assert sinks.unpacked_html(sinks.packed_html("ä")) == "ä" == sinks.unpacked_html("ä".encode()) and sinks.unpacked_html(None) == ""

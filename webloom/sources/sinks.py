@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators.ranks import numbered
+from webloom.sources.files import write_text
 
 NAMESPACE, PER_FILE = "http://www.sitemaps.org/schemas/sitemap/0.9", 50_000  # fixed values of the protocol
 
@@ -42,19 +42,16 @@ def sitemap_files(urls: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 def write_sitemap(urls: DataFrame, folder: str, stem: str = "sitemap", base: str = "", per_file: int = PER_FILE) -> list[str]:
     """Write the files, and an index if there is more than one; gives the names written.  Without an address nothing is."""
-    os.makedirs(folder, exist_ok=True)
-    names = []
+    spark, names = urls.sparkSession, []
     files = sitemap_files(urls, per_file).orderBy("file_no")
     n = files.count()
     for r in files.toLocalIterator():  # a file at a time
         name = f"{stem}.xml" if n == 1 else f"{stem}-{r.file_no + 1}.xml"
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(r.xml)
+        write_text(spark, f"{folder}/{name}", r.xml)
         names.append(name)
     if n > 1:
         lines = "\n".join(f"  <sitemap><loc>{escape(base + x)}</loc></sitemap>" for x in names)
-        with open(os.path.join(folder, f"{stem}.xml"), "w", encoding="utf-8") as f:
-            f.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="{NAMESPACE}">\n{lines}\n</sitemapindex>\n')
+        write_text(spark, f"{folder}/{stem}.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="{NAMESPACE}">\n{lines}\n</sitemapindex>\n')
         names.append(f"{stem}.xml")
     return names
 
@@ -63,15 +60,17 @@ def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as a CSV folder with a header, and a manifest of their columns and rows."""
     manifest = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(os.path.join(folder, name))
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
         manifest[name] = {"columns": df.columns, "rows": df.count()}
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True)
+    for df in list(tables.values())[:1]:
+        write_text(df.sparkSession, f"{folder}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
 
 
-def write_crawl(results: DataFrame, folder: str) -> None:
-    """Results as JSON lines, a file per partition."""
+def write_crawl(results: DataFrame, folder: str, summary: dict | None = None) -> None:
+    """Results as JSON lines, a file per partition, and a last file with the summary line, if there is a summary."""
     results.write.mode("overwrite").json(folder)
+    if summary is not None:
+        write_text(results.sparkSession, f"{folder}/summary.json", json.dumps({"__type": "summary", **summary}) + "\n")
 
 
 def chain_text(chain):
@@ -79,16 +78,16 @@ def chain_text(chain):
     return F.array_join(F.transform(chain, lambda h: F.concat(h["url"], F.lit(" ("), h["status"].cast("string"), F.lit(")"))), " -> ")
 
 
-def overlap_envelope(pages: DataFrame, pairs: DataFrame, clusters: DataFrame, meta: dict, floor: int = 50_000, least: float = 0.9, most_pairs: int = 200_000) -> dict:
+def overlap_envelope(pages: DataFrame, pairs: DataFrame, clusters: DataFrame, meta: dict, floor: int | None = None, least: float = 0.9, most: int = 500_000) -> dict:
     """The JSON document of an overlap report: meta, summary, pages, pairs and clusters.
 
-    From ``floor`` pages on only pairs of at least ``least`` are told, and that is said in the summary; a report of
-    more than ``most_pairs`` pairs is no document for a browser and is an error.
+    With a ``floor``, from so many pages on only pairs of at least ``least`` are told, and that is said in the summary.  A
+    report of more than ``most`` pages or pairs is no document for a browser and is an error.
     """
     n = pages.count()
-    told = pairs.where(F.col("sim") >= least) if n >= floor else pairs
+    told = pairs.where(F.col("sim") >= least) if floor is not None and n >= floor else pairs
     total, shown = pairs.count(), told.count()
-    if shown > most_pairs or n > 10 * floor:
+    if max(shown, n) > most:
         raise ValueError("too large for one document: write the tables instead")
     rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
     summary = {"pages": n, "pairs": total, "pairs_told": shown, "truncated": shown < total, "clusters": clusters.count()}
@@ -106,11 +105,10 @@ q.oninput=draw;draw();</script></body></html>
 """
 
 
-def write_html(envelope: dict, path: str) -> None:
+def write_html(spark: SparkSession, envelope: dict, path: str) -> None:
     """One file that works offline; the data can't end the script it is in."""
     data = json.dumps(envelope, ensure_ascii=False).replace("<", "\\u003c")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(PAGE.replace("@DATA@", data))
+    write_text(spark, path, PAGE.replace("@DATA@", data))
 
 
 def packed_html(text: str) -> bytes:
