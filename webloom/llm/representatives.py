@@ -1,11 +1,10 @@
 """One record for each group of records that stand for one page, built field by field.
 
 Records are linked through the addresses they name.  A link that only a canonical_url makes counts
-if the texts agree but for a paragraph or two; equal texts are linked as one.  Candidates share an address and
-some of the lines that are rarest there: two line sets that differ by at most two on either side hold their k
-rarest common lines within the k + 2 rarest of each, so one line of three decides for texts of up to three lines (which are
-then always close), two of four where a text has four, three of five for longer ones.  A key that many texts have is settled against
-the least of them first, so no group is paired out.  Groups are the connected components.
+if the texts agree but for a paragraph or two: candidates share an address and one of the three
+lines that are rarest there (of two line sets that differ by at most two on either side, one of
+these must be shared), so no group is paired out; equal texts are linked as one.  Groups are the
+connected components.
 
 Values of a group's fields are judged by a latent two-sided quality model.  Each kind of source
 (extraction method and confidence) asserts the values its records hold and denies the group's
@@ -15,7 +14,6 @@ by expectation-maximisation.  A multi-valued field keeps every value judged true
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +23,7 @@ from webloom.functions.urls import address_key
 from webloom.operators.components import connected_components
 from webloom.scratch import Scratch
 
-PARAGRAPHS, ROUNDS, SETTLED, MOST_SOURCES = 2, 15, 1e-3, 256
+PARAGRAPHS, ROUNDS, SETTLED, MOST_SOURCES = 2, 8, 1e-3, 256
 PRIOR = {"true": (2.0, 2.0), "sensitivity": (4.0, 2.0), "specificity": (9.0, 1.0)}
 
 
@@ -51,15 +49,9 @@ def _address_links(scratch: Scratch, recs: DataFrame) -> DataFrame:
     by_text = same.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     each = texts.select("run_id", "address", "text", F.explode(F.array_distinct("lines")).alias("line"))
     rare = each.join(each.groupBy("run_id", "address", "line").agg(F.count("*").alias("n")), ["run_id", "address", "line"])
-    most = PARAGRAPHS + 3
-    heads = rare.groupBy("run_id", "address", "text").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list(F.struct("n", "line"))), 1, most).alias("heads"))
-    n, line = F.col("size"), lambda i: F.get("heads", F.lit(i))["line"]
-    for_size = {1: n <= PARAGRAPHS + 1, 2: n.between(2, PARAGRAPHS + 4), 3: n >= 3}
-    keyed = [F.when(for_size[k] & (n > c[-1]), F.xxhash64(F.lit(k), *(line(i) for i in c))) for k in for_size for c in itertools.combinations(range(PARAGRAPHS + k), k)]
-    keys = heads.select("text", "run_id", "address", F.explode(F.array_distinct(F.array_compact(F.array(*keyed)))).alias("line"))
-    shared_keys = keys.groupBy("run_id", "address", "line").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    keys = keys.join(shared_keys, ["run_id", "address", "line"], "left_semi")
-    # a key that many texts have is first settled against the least of them; only what differs from that one is paired
+    heads = rare.groupBy("run_id", "address", "text").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "line"))), 1, PARAGRAPHS + 1).alias("heads"))
+    keys = heads.select("text", F.explode("heads").alias("h"), "run_id", "address").select("text", "run_id", "address", F.col("h.line").alias("line"))
+    # a line that many texts share is first settled against the least of them; only what differs from that one is paired
     keys = scratch.cut(keys.join(texts.select("text", "lines", "own", "said", "node"), "text"), "keys")
     lead = keys.groupBy("run_id", "address", "line").agg(F.min(F.struct("text", "lines", "own", "said", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
     led = scratch.cut(keys.join(lead, ["run_id", "address", "line"]), "led")
@@ -102,14 +94,16 @@ def source_quality(claims: DataFrame, rounds: int = ROUNDS, most_sources: int =
         return 1 / (1 + F.exp(-odds))
 
     for _ in range(rounds):
-        judged = cases.withColumn("truth", truth()).select("n", "truth", F.explode("claims").alias("c"))
+        all_facts = F.array(F.struct(F.lit("").alias("source"), F.lit(1).cast("long").alias("yes"), F.lit(0).cast("long").alias("no")))  # counted as a source without a name
+        judged = cases.withColumn("truth", truth()).select("n", "truth", F.explode(F.concat("claims", all_facts)).alias("c"))
         t, n = F.col("truth"), F.col("n")
         sums = judged.groupBy("c.source").agg(*(F.sum(n * w * F.col(f"c.{k}")).alias(name) for name, w, k in (("ty", t, "yes"), ("tn", t, "no"), ("fy", 1 - t, "yes"), ("fn", 1 - t, "no"))))
         before = dict(quality)
         for r in sums.collect():  # one row a source
-            quality[r.source] = mean(r.ty, r.tn, PRIOR["sensitivity"]), mean(r.fn, r.fy, PRIOR["specificity"])
-        total = cases.agg(F.sum(truth() * F.col("n")).alias("t"), F.sum("n").alias("n")).first()
-        share = mean(total.t, total.n - total.t, PRIOR["true"])
+            if r.source:
+                quality[r.source] = mean(r.ty, r.tn, PRIOR["sensitivity"]), mean(r.fn, r.fy, PRIOR["specificity"])
+            else:
+                share = mean(r.ty, r.fy, PRIOR["true"])
         if max(abs(a - b) for s in quality for a, b in zip(quality[s], before[s])) <= SETTLED:
             break
     return facts.select("fact", truth().alias("truth")), quality, share
