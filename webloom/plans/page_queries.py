@@ -55,15 +55,51 @@ def _marked(spark, d):
     return rows.select("url_id", "url", F.concat(F.coalesce("html", F.lit("")), of(0)).alias("html"), of(1).alias("status"), of(2).alias("cookie")).withColumn("headers", F.create_map(F.lit("Set-Cookie"), "cookie"))
 
 
+def _plain(spark, d):
+    """Pages as they are; the table has no cookies and no headers."""
+    return _html(spark, d).select("url_id", "url", "html", F.lit("").alias("cookie"), F.lit(None).cast("map<string,string>").alias("headers"))
+
+
+def _hits(pages):
+    hits = pages.select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.col("cookie"))).alias("h"))
+    return hits.select("url_id", "h.vendor", F.coalesce("h.identifier", F.lit("")).alias("identifier"), "h.evidence_type", "h.confidence")
+
+
+def _inventory(pages):
+    rows = pages.select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.col("cookie")).alias("analytics"))
+    return reports.vendor_inventory(rows).select("vendor", "category", F.coalesce("identifier", F.lit("")).alias("identifier"), "page_count")
+
+
+def _systems(pages):
+    out = pages.select("url_id", detect.detected_cms(F.col("html"), F.col("headers")).alias("c"))
+    return out.select("url_id", F.coalesce("c.cms_name", F.lit("")).alias("cms"), "c.confidence")
+
+
 def vendor_hits(spark, d):
     """Vendors of each page."""
-    hits = _marked(spark, d).select("url_id", F.explode(detect.vendor_hits(F.col("html"), F.col("cookie"))).alias("h"))
-    return hits.select("url_id", "h.vendor", F.coalesce("h.identifier", F.lit("")).alias("identifier"), "h.evidence_type", "h.confidence")
+    return _hits(_plain(spark, d))
 
 
 def vendor_inventory(spark, d):
-    pages = _marked(spark, d).select(F.lit("r").alias("run_id"), "url_id", "url", F.lit("html").alias("kind"), F.lit(1).alias("fetched_at"), detect.vendor_hits(F.col("html"), F.col("cookie")).alias("analytics"))
-    return reports.vendor_inventory(pages).select("vendor", "category", F.coalesce("identifier", F.lit("")).alias("identifier"), "page_count")
+    return _inventory(_plain(spark, d))
+
+
+def cms_detected(spark, d):
+    """System of each page."""
+    return _systems(_plain(spark, d))
+
+
+def marked_vendor_hits(spark, d):
+    """Vendors of each page with its mark."""
+    return _hits(_marked(spark, d))
+
+
+def marked_vendor_inventory(spark, d):
+    return _inventory(_marked(spark, d))
+
+
+def marked_cms_detected(spark, d):
+    return _systems(_marked(spark, d))
 
 
 def pages_without_vendor(spark, d):
@@ -71,12 +107,6 @@ def pages_without_vendor(spark, d):
     return reports.pages_without_vendor(pages, "ga4").select("url")
 
 
-def cms_detected(spark, d):
-    """System of each page."""
-    out = _marked(spark, d).select("url_id", detect.detected_cms(F.col("html"), F.col("headers")).alias("c"))
-    return out.select("url_id", F.coalesce("c.cms_name", F.lit("")).alias("cms"), "c.confidence")
-
-
 def challenges(spark, d):
     return _marked(spark, d).select("url_id", F.coalesce(detect.challenge(F.col("status"), F.col("headers"), F.col("html")), F.lit("")).alias("vendor"))
 
@@ -167,7 +197,7 @@ def events_props(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        html_titles, html_facts, html_links, vendor_hits, vendor_inventory, pages_without_vendor, cms_detected, challenges, custom_rules, robots_decisions, pair_verdicts, pair_failures, events_tumbling, events_sliding, events_sessions,
+        html_titles, html_facts, html_links, vendor_hits, vendor_inventory, marked_vendor_hits, marked_vendor_inventory, pages_without_vendor, cms_detected, marked_cms_detected, challenges, custom_rules, robots_decisions, pair_verdicts, pair_failures, events_tumbling, events_sliding, events_sessions,
         stream_tumbling, stream_frontier, stream_breaker, events_props,
     )
 }
@@ -175,7 +205,8 @@ QUERIES = {
 _Q = lambda x: "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
 _OF = lambda n: f"([{', '.join(_Q(m[n]) for m in MARKS)}])[url_id % {len(MARKS)} + 1]"
 _MARKED = f"pg as (select url_id, url, coalesce(html, '') || {_OF(0)} as html, {_OF(1)} as status, {_OF(2)} as cookie from (select distinct url_id, url, html from signature_pages where url_id is not null))"
-_HITS = f"""{_MARKED}, every as ({" union all ".join(f"select url_id, {_Q(v)} as vendor, {_Q(c)} as category, {_Q(e)} as evidence_type, {conf} as confidence, {f'regexp_extract(m, {_Q(p)}, 1)' if re.compile(p).groups else 'null'} as identifier from (select url_id, unnest(regexp_extract_all({'cookie' if e == 'cookie' else 'html'}, {_Q(p)})) as m from pg)" for v, c, e, p, conf in detect.VENDOR_RULES)}),
+_PLAIN = "pg as (select distinct url_id, url, coalesce(html, '') as html, '' as cookie from signature_pages)"
+_HITS = f"""every as ({" union all ".join(f"select url_id, {_Q(v)} as vendor, {_Q(c)} as category, {_Q(e)} as evidence_type, {conf} as confidence, {f'regexp_extract(m, {_Q(p)}, 1)' if re.compile(p).groups else 'null'} as identifier from (select url_id, unnest(regexp_extract_all({'cookie' if e == 'cookie' else 'html'}, {_Q(p)})) as m from pg)" for v, c, e, p, conf in detect.VENDOR_RULES)}),
 hits as (select url_id, vendor, category, coalesce(identifier, '') as identifier, evidence_type, max(confidence)::double as confidence from every group by 1, 2, 3, 4, 5)"""
 _KEYED = lambda u: rf"lower(regexp_extract(trim({u}), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(trim({u}), '//([^/?#]*)', 1)) || rtrim(regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') || regexp_extract(trim({u}), '^[^?#]*(.*)$', 1)"
 _PAIR = f"""n as (select run_id, url_id, signature_hash as sha from (select *, row_number() over (partition by run_id, url_id order by fetched_at desc nulls last, loaded_at desc nulls last, signature_hash desc nulls last) as k from analysis_rows) where k = 1),
@@ -194,9 +225,11 @@ v as (select source_url, target_url, case when hop then 1 else 0 end as n_hops,
 _TUMBLE = "select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2, 3"
 _PATHQ = r"regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) || case when regexp_extract(trim(url), '\?([^#]*)', 1) <> '' then '?' || regexp_extract(trim(url), '\?([^#]*)', 1) else '' end"
 SQL = {
-    "vendor_hits": f"with {_HITS} select url_id, vendor, identifier, evidence_type, confidence from hits",
-    "vendor_inventory": f"with {_HITS} select vendor, category, identifier, count(distinct url_id) as page_count from hits group by 1, 2, 3",
-    "pages_without_vendor": f"with {_HITS} select url from pg where not exists (select 1 from hits where hits.url_id = pg.url_id and vendor = 'ga4')",
+    "vendor_hits": f"with {_PLAIN}, {_HITS} select url_id, vendor, identifier, evidence_type, confidence from hits",
+    "vendor_inventory": f"with {_PLAIN}, {_HITS} select vendor, category, identifier, count(distinct url_id) as page_count from hits group by 1, 2, 3",
+    "marked_vendor_hits": f"with {_MARKED}, {_HITS} select url_id, vendor, identifier, evidence_type, confidence from hits",
+    "marked_vendor_inventory": f"with {_MARKED}, {_HITS} select vendor, category, identifier, count(distinct url_id) as page_count from hits group by 1, 2, 3",
+    "pages_without_vendor": f"with {_MARKED}, {_HITS} select url from pg where not exists (select 1 from hits where hits.url_id = pg.url_id and vendor = 'ga4')",
     "challenges": f"""with {_MARKED} select url_id, case when regexp_matches(lower(html), 'just a moment\\.\\.\\.|__cf_chl_|cf_chl_opt|challenges\\.cloudflare\\.com/turnstile') then 'cloudflare'
   when contains(lower(html), 'geo.captcha-delivery.com') or (contains(cookie, 'datadome') and status in (403, 429)) then 'datadome' when regexp_matches(lower(html), 'px-captcha|_px2|perimeterx|px\\.gif') and status in (403, 429) then 'perimeterx'
   when contains(cookie, '_abck') and status in (403, 429) then 'akamai' when contains(lower(html), '_incapsula_resource') then 'imperva' else '' end as vendor from pg""",
