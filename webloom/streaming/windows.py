@@ -22,6 +22,7 @@ def tumbling(events: DataFrame, size: str = "1 hour", at: str = "ts", late: str
 
 
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour", at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Events and users per sliding window; users are counted exactly in a batch and to about one percent in a stream, which can't keep them all."""
     g = _watermarked(events, at, late).groupBy(F.window(at, size, step).alias("w"))
     return _bounds(g.agg(F.count("*").alias("n"), F.approx_count_distinct("user_id", 0.01).alias("users") if events.isStreaming else F.countDistinct("user_id").alias("users")), "n", "users")
 
