@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import compare, identity, overlap, reports, similarity
+from webloom.plans import analysis_queries
 
 VEC = "part string, id long, vector array<float>"
 
@@ -53,6 +54,38 @@ def test_inverted_file_recall(spark):
     assert c.looked < 0.5 * c.every
 
 
+def test_recall_by_lists_is_that_of_the_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    rows = [(p, i, [float(x) for x in base[rng.integers(60)] + 0.25 * rng.normal(size=16)]) for p in "ab" for i in range(1500)]
+    rows += [("a", 8000 + i, [float(x) for x in rng.normal(size=5)]) for i in range(40)] + [("a", 9000, None), ("a", 9001, [0.0] * 16), ("c", 1, [1.0] * 16)]
+    rows += [("d", 1, [1.0] + [0.0] * 15), ("d", 2, [0.6, 0.8] + [0.0] * 14), ("d", 3, [0.6 - 1e-7, 0.8] + [0.0] * 14)]  # of 0.6 and a little less
+    df = spark.createDataFrame(rows, VEC)
+    for least, gap in ((0.8, 0.0), (0.8, 0.05), (0.6, 0.2)):
+        exact = similarity.cosine_pairs(df, least)
+        want, n = similarity.recall(exact, similarity.ann_pairs(df, least, gap)).first().recall, exact.count()
+        for block in (700, 1 << 22):
+            got = similarity.recall_by_lists(df, least, gap, block=block).first()
+            assert got.pairs == n and got.recall == want == got.found / n
+            assert (got.looked, got.every) == tuple(similarity.candidates(df, gap).first())
+        assert gap or want < 0.95
+    none = similarity.recall_by_lists(df.limit(0), 0.9).first()
+    assert (none.pairs, none.found, none.recall) == (0, 0, 1.0)
+
+
+def test_recall_query_writes_no_pairs(spark, tmp_path):
+    """8,000 rows with some 3 million similar pairs: what is shuffled is the rows, a few times, not the pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(10, 64))
+    rows = [("r", i, 1, "m", [float(x) for x in base[i % 10] + 0.1 * rng.normal(size=64)]) for i in range(8000)]
+    spark.createDataFrame(rows, "run_id string, url_id long, fetched_at long, embedding_model string, embedding array<float>").withColumn("loaded_at", F.lit(0)).write.parquet(f"{tmp_path}/analysis_rows.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = analysis_queries.sim_ann_recall(spark, str(tmp_path)).first()
+    assert got.recall > 0.99 and 0 < got.looked_at < 1
+    assert written() - before < 15 * 8000 * 64 * 4
+
+
 def test_complete_linkage_of_components_beyond_a_task(spark):
     df = spark.createDataFrame(vectors(60, 4, 5, ("a", "b")), VEC)
     pairs = similarity.cosine_pairs(df, 0.6)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,13 +22,15 @@ from webloom.operators.components import connected_components
 from webloom.scratch import Scratch
 
 BLOCK, GRID_LOW, IN_TASK = 1024, 0.80, 2_000
+LARGE, CUTS = 1 << 23, 8  # numbers in a block of ``recall_by_lists``, blocks of a part at least
 SAMPLE, ROWS_PER_LIST, MOST_LISTS, GAP = 20_000, 512, 4096, 0.2  # of the inverted file
 
 
 def unit_rows(rows: DataFrame, vector: str = "vector") -> DataFrame:
     """part, id, vec of length one; unusable vectors are left out."""
     v = F.col(vector).cast("array<double>")
-    return rows.where(usable(v)).select(F.col("part"), F.col("id"), F.transform(v, lambda x: x / _length(v)).alias("vec"))
+    vec = F.transform(F.array(_length(v)), lambda n: F.transform(v, lambda x: x / n))[0]  # the length is taken once a row
+    return rows.where(usable(v)).select(F.col("part"), F.col("id"), vec.alias("vec"))
 
 
 def _length(v: Column) -> Column:
@@ -40,11 +43,16 @@ def usable(v: Column) -> Column:
     return F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & (_length(v) > 0) & (_length(v) < float("inf")), F.lit(False))
 
 
-def _blocks(units: DataFrame, block: int) -> DataFrame:
-    """Each row once for every other block of its part and length: part, dim, lo, hi, mine (its own block), id, vec."""
+def _blocks(units: DataFrame, block: int | Column, cuts: int = 1) -> DataFrame:
+    """Each row once for every other block of its part and length: part, dim, lo, hi, mine (its own block), id, vec.
+
+    Up to ``cuts`` blocks are made of smaller parts, down to BLOCK rows, so that there is work for all tasks; parts must be
+    few then: a join that shuffles by part would leave all blocks of a part in one task.
+    """
     units = units.withColumn("dim", F.size("vec"))
-    sizes = units.groupBy("part", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = units.join(sizes, ["part", "dim"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    n = F.count("*")
+    sizes = units.groupBy("part", "dim").agg(F.greatest(F.ceil(n / block), F.least(F.lit(cuts), F.ceil(n / BLOCK))).cast("int").alias("blocks"))
+    placed = units.join(F.broadcast(sizes) if cuts > 1 else sizes, ["part", "dim"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return placed.withColumn("other", other).select("part", "dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "vec")
 
@@ -107,17 +115,24 @@ def coarse_centres(sample: np.ndarray, lists: int, rounds: int = 6, seed: int =
     return centres
 
 
+def _index(units: DataFrame, sample: int, most_lists: int) -> dict[int, np.ndarray]:
+    """Centres of each length, the same however the rows are laid out; units: part, id, vec, dim."""
+    counts = {r.dim: r.n for r in units.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length
+    index = {}
+    for dim, n in counts.items():
+        share = F.pmod(F.xxhash64("part", "id"), F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / n) * (1 << 30))
+        some = units.where((F.col("dim") == dim) & (share | F.lit(n <= sample))).orderBy(F.xxhash64("part", "id"), "part", "id").select("vec").limit(sample)
+        index[dim] = coarse_centres(np.stack([r.vec for r in some.collect()]), max(1, min(most_lists, n // ROWS_PER_LIST)))
+    return index
+
+
 def listed(rows: DataFrame, gap: float = GAP, sample: int = SAMPLE, most_lists: int = MOST_LISTS, vector: str = "vector") -> DataFrame:
     """(part, dim, list, home, id, vec): each row in the list of its nearest centre (home) and in all whose centre is within ``gap``.
 
     Centres are fitted per length on ``sample`` rows picked by hash; there is one for every ROWS_PER_LIST rows, ``most_lists`` at most.
     """
     units = unit_rows(rows, vector).withColumn("dim", F.size("vec"))
-    counts = {r.dim: r.n for r in units.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length
-    index = {}
-    for dim, n in counts.items():
-        share = F.pmod(F.xxhash64("part", "id"), F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / n) * (1 << 30))
-        index[dim] = coarse_centres(np.stack([r.vec for r in units.where((F.col("dim") == dim) & (share | F.lit(n <= sample))).select("vec").limit(sample).collect()]), max(1, min(most_lists, n // ROWS_PER_LIST)))
+    index = _index(units, sample, most_lists)
     shared = rows.sparkSession.sparkContext.broadcast(index)  # most_lists centres a length
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,15 +183,102 @@ def ann_pairs(rows: DataFrame, least: float, gap: float = GAP, block: int = 4096
     return found.groupBy("part", "a", "b").agg(F.max("sim").alias("sim"))
 
 
-def candidates(rows: DataFrame, gap: float = GAP, vector: str = "vector") -> DataFrame:
-    """One row: pairs of a row and a list's member that ``ann_pairs`` looks at, and all pairs of a part."""
-    placed = listed(rows, gap, vector=vector)
-    per = placed.groupBy("part", "dim", "list").agg(F.count_if("home").alias("m"), F.count("*").alias("q"))
-    every = placed.where("home").groupBy("part", "dim").agg(F.count("*").alias("n"))
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list())
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(np.float64)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _asked(vectors: np.ndarray, centres: np.ndarray, gap: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of so many rows at once the unit rows, the nearest list and which lists they are in."""
+    for at in range(0, len(vectors), 1024):
+        units = _unit(vectors[at : at + 1024])
+        near = units @ centres.T
+        yield units, near.argmax(1), near >= near.max(1, keepdims=True) - gap
+
+
+def _looked(kept: DataFrame, shared: Broadcast, gap: float) -> DataFrame:
+    """One row: looked, every.  Rows are counted where they lie; their vectors don't move."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (part, dim), rows in pdf.groupby(["part", "dim"], sort=False):
+                lists = np.arange(len(shared.value[dim]), dtype=np.int32)
+                m, q = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+                for _, home, asks in _asked(_stacked(rows.vec), shared.value[dim], gap):
+                    m += np.bincount(home, minlength=len(lists))
+                    q += asks.sum(0)
+                yield pd.DataFrame({"part": part, "dim": dim, "list": lists, "m": m, "q": q})[q > 0]
+
+    counted = kept.select("part", "dim", "vec").mapInPandas(count, "part string, dim int, list int, m long, q long")
+    per = counted.groupBy("part", "dim", "list").agg(F.sum("m").alias("m"), F.sum("q").alias("q"))
+    every = kept.groupBy("part", "dim").agg(F.count("*").alias("n"))
     looked = per.agg(F.sum(F.col("m") * F.col("q")).alias("looked"))
     return looked.crossJoin(every.agg(F.sum(F.col("n") * F.col("n")).alias("every")))  # one row each
 
 
+def _usable_rows(rows: DataFrame, vector: str) -> DataFrame:
+    """part, id, dim, vec as it is: narrow numbers stay narrow on their way."""
+    return rows.where(usable(F.col(vector)) & F.col("part").isNotNull()).select("part", "id", F.size(vector).alias("dim"), F.col(vector).alias("vec"))
+
+
+def candidates(rows: DataFrame, gap: float = GAP, vector: str = "vector") -> DataFrame:
+    """One row: pairs of a row and a list's member that ``ann_pairs`` looks at, and all pairs of a part."""
+    kept = Scratch(rows.sparkSession).cut(_usable_rows(rows, vector), "usable")
+    shared = rows.sparkSession.sparkContext.broadcast(_index(unit_rows(kept, "vec").withColumn("dim", F.size("vec")), SAMPLE, MOST_LISTS))
+    return _looked(kept, shared, gap)
+
+
+def recall_by_lists(rows: DataFrame, least: float, gap: float = GAP, sample: int = SAMPLE, most_lists: int = MOST_LISTS, block: int = LARGE, vector: str = "vector") -> DataFrame:
+    """One row: exact pairs, how many of them ``ann_pairs`` finds, their share (recall, 1 if there are none), looked and every as in ``candidates``.
+
+    ``ann_pairs`` finds a pair where one row is in the home list of the other, so each pair of blocks tells its own
+    pairs and hits and no pair is written.  All pairs are compared, in single precision; those too near to ``least``
+    for it are compared again in double.  ``block`` is in numbers: rows are sent once for every other block, as narrow as they came.
+    """
+    kept = Scratch(rows.sparkSession).cut(_usable_rows(rows, vector), "usable")
+    shared = rows.sparkSession.sparkContext.broadcast(_index(unit_rows(kept, "vec").withColumn("dim", F.size("vec")), sample, most_lists))
+
+    def block_of(pdf: pd.DataFrame, centres: np.ndarray) -> tuple:
+        vectors = _stacked(pdf.vec)
+        some = [(u.astype(np.float32), h, np.packbits(asks, axis=1, bitorder="little")) for u, h, asks in _asked(vectors, centres, gap)]
+        return pdf.id.to_numpy(), vectors, *(np.concatenate(x) for x in zip(*some))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, dim, lo, hi = key
+        a, b = pdf[pdf.mine == lo], pdf[pdf.mine == hi]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"pairs": [], "found": []}).astype("int64")
+        ids_a, a, a32, home_a, asks_a = one = block_of(a, shared.value[dim])
+        ids_b, b, b32, home_b, asks_b = one if lo == hi else block_of(b, shared.value[dim])
+        slack = (dim + 4) * 2.0**-23  # above any error of single precision
+        pairs = found = 0
+        for x in range(0, len(a), 256):
+            for y in range(x if lo == hi else 0, len(b), 1024):
+                sims = a32[x : x + 256] @ b32[y : y + 1024].T
+                at = np.flatnonzero(sims >= np.float32(least - slack))
+                if not len(at):
+                    continue
+                i, j = np.divmod(at, sims.shape[1])
+                sure, i, j = sims.ravel()[at] >= np.float32(least + slack), i + x, j + y
+                unsure = np.flatnonzero(~sure)
+                for k in np.split(unsure, range(4096, len(unsure), 4096)):
+                    sure[k] = np.einsum("ij,ij->i", _unit(a[i[k]]), _unit(b[j[k]])) >= least
+                keep = sure & (ids_a[i] != ids_b[j]) & ((i < j) | (lo != hi))
+                i, j = i[keep], j[keep]
+                hit = asks_a[i, home_b[j] >> 3] >> (home_b[j] & 7) | asks_b[j, home_a[i] >> 3] >> (home_a[i] & 7)
+                pairs, found = pairs + len(i), found + int((hit & 1).sum())
+        return pd.DataFrame({"pairs": [pairs], "found": [found]})
+
+    met = _blocks(kept.select("part", "id", "vec"), F.lit(block) / F.col("dim"), CUTS).groupBy("part", "dim", "lo", "hi").applyInPandas(compare, "pairs long, found long")
+    sums = met.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    share = F.coalesce(F.col("found") / F.nullif(F.col("pairs"), F.lit(0)), F.lit(1.0))
+    return sums.withColumn("recall", share).crossJoin(_looked(kept, shared, gap))  # one row each
+
+
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """One row: share of exact pairs that the approximate join found, 1 if there are none."""
     hit = exact.select("part", "a", "b").join(approximate.select("part", "a", "b", F.lit(1).alias("hit")), ["part", "a", "b"], "left")
