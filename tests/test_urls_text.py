@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webloom.functions import text, urls
+from webloom.plans import url_queries
 
 
 def column(spark, values, f):
@@ -73,6 +74,55 @@ def test_near_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_near_links_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(6)] + [0, (1 << 64) - 1]
+    prints = {b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(8))) for b in base for _ in range(60)}
+    prints |= {7 << 40 | (1 << k) - 1 for k in range(0, 40, 3)}  # a chain
+    signed = sorted(p - 2**64 if p >> 63 else p for p in prints)
+    pairs = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4]
+    root = {h: h for h in signed}
+    for _ in signed:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {h: (sum(h in p for p in pairs), root[h]) for h in {x for p in pairs for x in p}}
+    df = spark.createDataFrame([(h,) for h in signed] * 2 + [(None,)], "h long")
+    for block, cell, short in ((5, 40, 2), (9, 10_000, 64), (16_384, 50_000, 1)):
+        text.SHORT, kept = short, text.SHORT
+        try:
+            near = text.near_links(df, "h", block=block, cell=cell).collect()
+        finally:
+            text.SHORT = kept
+        n, up = {}, {h: h for h in signed}
+        for r in near:
+            n[r.h] = n.get(r.h, 0) + r.n
+        for _ in signed:
+            for r in near:
+                up[r.h] = up[r.root] = min(up[r.h], up[r.root])
+        assert {h: (k, up[h]) for h, k in n.items()} == want and len(want) > 100
+    assert text.near_links(df.limit(0), "h").count() == 0
+
+
+def test_near_duplicates_are_counted_without_their_pairs(spark, tmp_path):
+    """4,000 texts whose fingerprints are nearly all alike: some hundred thousand pairs, of which nothing is shuffled but sums."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*words, *(f"x{rng.randrange(10**6)}" for _ in range(5))])) for i in range(4000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    rows = {r.doc_id: r for r in url_queries.simhash_near_dups(spark, str(tmp_path)).collect()}
+    shuffled = written() - before
+    prints = {r.doc_id: r.simhash for r in url_queries.doc_simhash(spark, str(tmp_path)).collect()}
+    each = set(prints.values())
+    want = {h: sum(h != g and ((h ^ g) % 2**64).bit_count() <= 4 for g in each) for h in each}
+    assert {i: r.n_links for i, r in rows.items()} == {i: want[h] for i, h in prints.items()} and sum(want.values()) > 500_000
+    assert shuffled < 1_000_000
+
 def test_verdicts_and_signatures(spark):
     rows = [("a", "a", None, "identical"), ("a", "b", 4, "near"), ("a", "b", 5, "changed"), (None, "b", None, "unknown"), (None, None, 3, "near"), ("a", "b", None, "changed")]
     df = spark.createDataFrame(rows, "x string, y string, d int, want string")

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import netloc_of
+from webloom.scratch import Scratch
 
 _WORD = re.compile(r"\w+")
 TITLE_SPLITS = [" | ", " – ", " — ", " - ", "|", "–", "—"]  # fixed value: in order of priority
 NEAR, TEXT_CAP, THIN_WORDS, LOW_WORDS, SHARE = 4, 1500, 88, 50, 0.30
+BLOCK, CELL, SHORT = 16_384, 50_000, 64  # rows of a bucket that meet in one task, rows of buckets in one group, rows of a bucket met by shifts
 
 
 def simhash64(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,6 +65,13 @@ def content_verdict(sha_a: Column, sha_b: Column, distance: Column, near: int =
     return F.when(some_null & distance.isNull(), "unknown").when(~some_null & (sha_a == sha_b), "identical").when(distance <= near, "near").otherwise("changed")
 
 
+def _masks(most: int, agree: int) -> list[int]:
+    """The bits of each choice of ``agree`` of most + agree bands."""
+    bands = most + agree
+    edges = [round(64 * i / bands) for i in range(bands + 1)]
+    return [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(bands), agree)]
+
+
 def near_pairs(prints: DataFrame, fingerprint: str, most: int = NEAR, agree: int = 2) -> DataFrame:
     """(a, b, distance) of the different fingerprints at most ``most`` bits apart, a < b.
 
@@ -70,10 +79,7 @@ def near_pairs(prints: DataFrame, fingerprint: str, most: int = NEAR, agree: int
     each choice of that many bands misses none, and its keys are wide enough to keep buckets small.  Equal fingerprints
     are one, which keeps copies from pairing out; the copies are membership.
     """
-    bands = most + agree
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(bands), agree)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(most, agree)]
     one = prints.select(F.col(fingerprint).alias("h")).where("h is not null").distinct()
     cut = [F.struct(F.lit(i).alias("choice"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)]
     keyed = one.select("h", F.explode(F.array(*cut)).alias("k")).select("h", "k.choice", "k.bits")
@@ -82,6 +88,96 @@ def near_pairs(prints: DataFrame, fingerprint: str, most: int = NEAR, agree: int
     return met.select(F.col("h").alias("a"), F.col("g").alias("b"), "distance").distinct()
 
 
+def near_links(prints: DataFrame, fingerprint: str, most: int = NEAR, agree: int = 2, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """(h, root, n): what the pairs of ``near_pairs`` come to, without writing them.
+
+    A fingerprint has some rows, or none if nothing is near; its n add up to the number of others at most ``most``
+    bits away, and (h, root) as edges have the components of all pairs.  Buckets are those of ``near_pairs``; a pair
+    counts in the first choice of bands that it agrees on.  Rows of a bucket longer than ``block`` meet block by block.
+    """
+    masks = _masks(most, agree)
+    choices = np.array(masks, dtype=np.uint64)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, node = np.unique(pdf.h.to_numpy(), return_inverse=True)
+        links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal links, label
+            if not held:
+                return
+            i, j = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            links += np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
+            while True:
+                a, b = label[i], label[j]
+                apart = a != b
+                if not apart.any():
+                    return
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
+
+        def hold(choice: int, i: np.ndarray, j: np.ndarray, x: np.ndarray) -> None:
+            """Pairs of nodes with their different bits."""
+            first = np.ones(len(x), bool)
+            for m in choices[:choice]:
+                first &= (x & m) != 0
+            held.append((i[first], j[first]))
+            if sum(len(x) for x, _ in held) > 1_000_000:
+                settle()
+
+        for choice in np.unique(pdf.choice):
+            of = np.flatnonzero(pdf.choice == choice)
+            h, lo, hi, mine = (pdf[c].to_numpy()[of] for c in ("h", "lo", "hi", "mine"))
+            bits = h.view(np.uint64) & choices[choice]
+            order = np.lexsort((mine, hi, lo, bits))
+            h, lo, hi, mine, bits, at = h.view(np.uint64)[order], lo[order], hi[order], mine[order], bits[order], node[of][order]
+            new = np.concatenate([[True], (bits[1:] != bits[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+            ends = np.append(starts[1:], len(h))
+            long = ends - starts > SHORT
+            short, k = np.flatnonzero(~long[run]), 0
+            while len(short):
+                k += 1
+                short = short[short + k < ends[run[short]]]
+                x = h[short] ^ h[short + k]
+                near = (np.bitwise_count(x) <= most) & ((lo[short] == hi[short]) | (mine[short] != mine[short + k]))
+                hold(choice, at[short[near]], at[short[near] + k], x[near])
+            for s, e in zip(starts[long], ends[long]):
+                one = lo[s] == hi[s]
+                middle = e if one else s + np.searchsorted(mine[s:e], hi[s])
+                for p in range(s, middle, 256):
+                    for q in range(p if one else middle, e, 4096):
+                        x = h[p : min(p + 256, middle), None] ^ h[q : min(q + 4096, e)]
+                        found = np.flatnonzero(np.bitwise_count(x) <= most)
+                        i, j = np.divmod(found, x.shape[1])
+                        i, j, x = i + p, j + q, x.ravel()[found]
+                        if one:
+                            i, j, x = i[i < j], j[i < j], x[i < j]
+                        hold(choice, at[i], at[j], x)
+        settle()
+        some = links > 0
+        return pd.DataFrame({"h": nodes[some], "root": nodes[label[some]], "n": links[some]})
+
+    one = Scratch(prints.sparkSession).cut(prints.select(F.col(fingerprint).alias("h")).where("h is not null").distinct(), "fingerprints")
+    n = one.count()
+    cut = [F.struct(F.lit(i).alias("choice"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)]
+    keyed = one.select("h", F.explode(F.array(*cut)).alias("k")).select("h", "k.choice", "k.bits")
+    if n > block:  # at most a row for every ``block`` fingerprints and choice
+        large = keyed.groupBy("choice", "bits").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+        keyed = keyed.join(F.broadcast(large), ["choice", "bits"], "left")
+    else:
+        keyed = keyed.withColumn("blocks", F.lit(1))
+    placed = keyed.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    group = F.pmod(F.xxhash64("choice", "bits", "lo", "hi"), F.lit(len(masks) * n // cell + 1))
+    return placed.select(group.alias("cell"), "h", "choice", "lo", "hi", "mine").groupBy("cell").applyInPandas(meet, "h long, root long, n long")
+
+
 # --- titles and signatures -----------------------------------------------------------------
 
 

@@ -86,9 +86,9 @@ def doc_simhash(spark, d):
 def simhash_near_dups(spark, d):
     """Each document with the class of its near fingerprints and the number of other fingerprints four bits away at most."""
     prints = Scratch(spark).cut(doc_simhash(spark, d), "prints")
-    pairs = Scratch(spark).cut(text.near_pairs(prints, "simhash"), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("simhash")).groupBy("simhash").agg(F.count("*").alias("n_links"))
-    classes = connected_components(pairs.select("a", "b")).select(F.col("node").alias("simhash"), F.col("component").alias("class_id"))
+    near = Scratch(spark).cut(text.near_links(prints, "simhash"), "near")
+    ends = near.groupBy(F.col("h").alias("simhash")).agg(F.sum("n").alias("n_links"))
+    classes = connected_components(near.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("simhash"), F.col("component").alias("class_id"))
     out = prints.join(ends, "simhash", "left").join(classes, "simhash", "left")
     return out.select("doc_id", F.coalesce("class_id", "simhash").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
